@@ -45,17 +45,31 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles in order, and how often each occurs."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    n, out = max(1, len(words) - size + 1), np.zeros(max(1, len(words) - size + 1), np.uint64)
+def shingles_of(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, hash, and number of occurrences of each distinct shingle, in order of place and hash."""
+    words = [WORD.findall(t.lower()) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    n = int(counts.sum())
+    codes = np.fromiter((_codes[w] for ws in words for w in ws), np.uint64, n)
+    place = np.repeat(np.arange(len(texts)), counts)
+    start = np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(n)  # words from here to the end of the text
+    length = np.minimum(np.repeat(counts, counts), size)
+    padded, out = np.concatenate([codes, np.zeros(size, np.uint64)]), np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(min(size, len(words))):
-            out = _mixed(out * np.uint64(31) + codes[i : i + n], 1)
-    return np.unique(out, return_counts=True)
+        for i in range(size):
+            out = np.where(i < length, _mixed(out * np.uint64(31) + padded[i : i + n], 1), out)
+    begins = (left >= size) | (np.arange(n) == start)
+    place, out = place[begins], out[begins]
+    order = np.lexsort((out, place))
+    place, out = place[order], out[order]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (out[1:] != out[:-1])])) if len(out) else np.zeros(0, int)
+    return place[first], out[first], np.diff(np.append(first, len(out)))
+
+
+def shingles(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of one text in order, and how often each occurs."""
+    return shingles_of([text], size)[1:]
 
 
 def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -66,45 +80,59 @@ def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return shared / total if total else 0.0
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Earliest arrival in each slot; equal values mean equal points."""
-    source, low, high, weight = [elements], [np.zeros(len(elements))], [np.ones(len(elements))], [weights]
+def signatures(place: np.ndarray, elements: np.ndarray, weights: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
+    """Earliest arrivals of each text in each slot, infinite for texts without elements; equal values mean equal points."""
+    levels = [(place, elements, np.zeros(len(elements)), np.ones(len(elements)), weights)]
     level, start = 1, 1
     while len(more := np.flatnonzero(weights > start)):
-        source.append(_mixed(elements[more], 1000 + level))
-        low.append(np.full(len(more), float(start)))
-        high.append(np.full(len(more), float(2 * start)))
-        weight.append(weights[more])
+        levels.append((place[more], _mixed(elements[more], 1000 + level), np.full(len(more), float(start)), np.full(len(more), float(2 * start)), weights[more]))
         level, start = level + 1, 2 * start
-    source, low, high, weight = map(np.concatenate, (source, low, high, weight))
-    until = (np.log(slots) + 5) / weights.sum()
-    out = np.full(slots, np.inf)
-    while True:
-        at, times, k = np.arange(len(source)), np.zeros(len(source)), 0
-        where, when = [], []
-        while len(at):
-            k += 1
-            draw = _mixed(source[at], 2 * k)
-            times = times - np.log((draw >> np.uint64(11)) * 2.0**-53 + 2.0**-54) / (slots * (high[at] - low[at]))
-            live = times <= until
-            at, times = at[live], times[live]
-            place = _mixed(source[at], 2 * k + 1)
-            inside = low[at] + (high[at] - low[at]) * ((place >> np.uint64(32)) * 2.0**-32) < weight[at]
-            where.append((place[inside] & np.uint64(0xFFFFFFFF)) % np.uint64(slots))
-            when.append(times[inside])
-        slot, time = np.concatenate(where).astype(int), np.concatenate(when)
-        order = np.argsort(-time, kind="stable")
-        out[slot[order]] = time[order]  # the last written, the earliest, stays
-        if np.isfinite(out).all():
-            return out
-        until *= 2
-
-
-def bands(found: np.ndarray, rows: int = ROWS) -> list[int]:
-    parts, out = found.view(np.uint64).reshape(-1, rows), None
+    place, source, low, high, weight = (np.concatenate(x) for x in zip(*levels))
+    total = np.zeros(texts)
+    np.add.at(total, levels[0][0], weights)
+    out, until = np.full(texts * slots, np.inf), (np.log(slots) + 5) / np.maximum(total, 1)
+    todo = total > 0
+    while todo.any():
+        rate = slots * (high - low)
+        expected = rate * until[place]
+        size = np.where(todo[place], 1 << np.clip(np.log2(np.maximum(expected, 2)).astype(int), 1, 10), 0)
+        for step in np.unique(size[size > 0]):  # rows that expect alike many points make them together, `step` at a time
+            at, k = np.flatnonzero(size == step), 0
+            units = np.zeros(len(at), np.int64)  # whole units, so that a point is the same however many are made together
+            while len(at):
+                number = np.arange(k + 1, k + step + 1, dtype=np.uint64) * np.uint64(2)
+                draw = _seeded(source[at][:, None], number)
+                made = (-np.log((draw >> np.uint64(11)) * 2.0**-53 + 2.0**-54) * 2.0**40).astype(np.int64)
+                reached = units[:, None] + np.cumsum(made, axis=1)
+                when = reached * 2.0**-40 / rate[at][:, None]
+                row, column = np.nonzero(when <= until[place[at]][:, None])
+                spot = _seeded(source[at[row]], number[column] + np.uint64(1))
+                position = low[at[row]] + (high - low)[at[row]] * ((spot >> np.uint64(32)) * 2.0**-32)
+                inside = position < weight[at[row]]
+                slot = ((spot & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(int)
+                np.minimum.at(out, (place[at[row]] * slots + slot)[inside], when[row, column][inside])
+                live = when[:, -1] <= until[place[at]]
+                at, units, k = at[live], reached[live, -1], k + int(step)
+        todo &= ~np.isfinite(out.reshape(texts, slots)).all(1)
+        until = until * 2
+    return out.reshape(texts, slots)
+
+
+def _seeded(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(x + seed * np.uint64(0x9E3779B97F4A7C15), 0)
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return signatures(np.zeros(len(elements), int), elements, weights, 1, slots)[0]
+
+
+def bands(found: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """For each signature a 64-bit number for each band."""
+    parts, out = found.view(np.uint64).reshape(len(found), -1, rows), None
     for j in range(rows):
-        out = _mixed(parts[:, j] if out is None else out ^ parts[:, j], j + 1)
-    return _mixed(out + np.arange(len(out), dtype=np.uint64), 99).view(np.int64).tolist()
+        out = _mixed(parts[..., j] if out is None else out ^ parts[..., j], j + 1)
+    return _mixed(out + np.arange(out.shape[1], dtype=np.uint64), 99).view(np.int64)
 
 
 def _node(text: str):
@@ -117,10 +145,11 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for t in batch.column(2).to_pylist():
-                found = shingles(t) if t else ((), ())
-                out.append(bands(signature(*found)) if len(found[0]) else [])
+            texts, out = [t or "" for t in batch.column(2).to_pylist()], []
+            for at in range(0, len(texts), 128):
+                part = texts[at : at + 128]
+                found = signatures(*shingles_of(part), len(part))
+                out += [row if full else [] for row, full in zip(bands(found), np.isfinite(found[:, 0]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["k", "node", "bands"])
 
     return docs.select(F.col(key).cast("bigint").alias("k"), _node(text), F.col(text)).mapInArrow(run, "k bigint, node binary, bands array<bigint>")
