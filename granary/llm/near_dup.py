@@ -10,7 +10,7 @@ made; where one stays empty, the time is doubled.
 Documents with equal texts are one node. Nodes that share a band meet in a bucket. Each bucket first compares all its
 members to one hub, so a group of many copies costs as many comparisons as it has members; then, until all members of
 every bucket have been compared that are not already connected, buckets with little left to compare do it at once and
-the others take another hub. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more connect
+the others take a few more hubs. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more connect
 nodes, and connected nodes form a class. Rows of one hub are split among tasks, texts are streamed past the hub.
 
 Null texts count as empty; texts without a word are alike only if equal; repeated rows fall into one class; rows with a
@@ -25,15 +25,16 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, remove, session_of, small_batches
+from .common import Cache, cut, session_of, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS, ROWS = 120, 5
-#: Members of a hub that one task compares, and comparisons that a bucket may do at once.
-HUB_ROWS, AT_ONCE = 512, 4_096
+#: Members of a hub that one task compares, comparisons that a bucket may do at once, and hubs that others take in the
+#: second round; the number doubles from round to round.
+HUB_ROWS, AT_ONCE, HUBS = 512, 4_096, 16
 _codes = Cache(lambda word: xxhash.xxh64_intdigest(word))
 
 
@@ -198,7 +199,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, most_rounds: int = 12) -> DataFrame:
     """key and class_id, the least key of the class, of every row."""
-    spark = session_of(docs)
     rows = cut(signed(docs, key, text), "signatures")
     bucketed = rows.select("node", F.explode("bands").alias("b")).distinct()
     sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -212,15 +212,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     for at in range(most_rounds + 1):
         roots = components(edges)
         placed = members.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("some")).groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("roots > 1")
+        mixed = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("roots > 1")
         # Of any two unconnected members one is outside the largest part of its bucket; those are still to be compared.
         open_ = placed.join(mixed.select("b", F.col("top.root").alias("top"), "all"), "b").join(compared.withColumnRenamed("hub", "node").withColumn("was", F.lit(True)), ["b", "node"], "left")
         open_ = cut(open_.select("b", "node", "root", "top", "all", F.coalesce("was", F.lit(False)).alias("was")), "open")
         rest = open_.where(~F.col("was") & (F.col("root") != F.col("top")))
-        work = rest.groupBy("b").agg((F.count(F.lit(1)) * F.max("all")).alias("work"), F.min(F.struct("node", "root")).alias("next"))
+        work = rest.groupBy("b").agg((F.count(F.lit(1)) * F.max("all")).alias("work"))
         now = F.col("work") <= (AT_ONCE if at < most_rounds else 2**62)
-        askers = rest.join(work.where(now).select("b"), "b").select("b", F.col("node").alias("hub"), F.col("root").alias("hr"))
-        askers = askers.union(work.where(~now).select("b", "next.node", "next.root"))
+        asker = ["b", F.col("node").alias("hub"), F.col("root").alias("hr")]
+        askers = rest.join(work.where(now).select("b"), "b").select(*asker)
+        ahead = F.row_number().over(Window.partitionBy("b").orderBy("node"))
+        some = rest.join(work.where(~now).select("b"), "b").withColumn("ahead", ahead).where(F.col("ahead") <= HUBS * 2**at)
+        askers = askers.union(some.select(*asker))
         askers = cut(askers, "hubs")
         if not askers.limit(1).count():
             break
@@ -234,7 +237,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         edges = grown
     named = rows.select("k", "node").join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("class_id"))
-    assert spark is not None and remove is not None
     return named.join(least, "root").select(F.col("k").alias(key), "class_id")
 
 
