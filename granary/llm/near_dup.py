@@ -11,7 +11,7 @@ Documents with equal texts are one node. Nodes that share a band meet in a bucke
 members to one hub, so a group of many copies costs as many comparisons as it has members; then, until all members of
 every bucket have been compared that are not already connected, buckets with little left to compare do it at once and
 the others take a few more hubs. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more connect
-nodes, and connected nodes form a class. Rows of one hub are split among tasks, texts are streamed past the hub.
+nodes, and connected nodes form a class. Rows of one hub are split among tasks, multisets are streamed past the hub's.
 
 Null texts count as empty; texts without a word are alike only if equal; repeated rows fall into one class; rows with a
 null key get the class of their text, which is null only if all its keys are; an empty table gives an empty one; other
@@ -156,26 +156,39 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("k"), _node(text), F.col(text)).mapInArrow(run, "k bigint, node binary, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (node, hub) whose texts are similar. texts: node, text, one row each."""
-    small_batches(session_of(pairs), 128)
+def multisets(texts: DataFrame) -> DataFrame:
+    """node, h, w: the shingles of each text in order and their numbers, as bytes. texts: node, text."""
+    small_batches(session_of(texts))
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in found], pa.binary())], ["node", "h", "w"])
+
+    return texts.mapInArrow(run, "node binary, h binary, w binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, hub) whose multisets are similar. sets: node, h, w, one row each."""
+    small_batches(session_of(pairs), 256)
     large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_ROWS).select(F.col("hub").alias("lh"), F.ceil(F.col("n") / HUB_ROWS).alias("parts"))
     dealt = pairs.join(large, F.col("hub") == F.col("lh"), "left").select("node", "hub", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"))
-    members = dealt.join(texts, "node").select("hub", "part", F.col("node").alias("other"), "text")
-    hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("binary").alias("other"), "text")
+    members = dealt.join(sets, "node").select("hub", "part", F.col("node").alias("other"), "h", "w")
+    hubs = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("binary").alias("other"), "h", "w")
 
     def run(batches):
-        hub = own = None
+        hub = own = size = None
         for batch in batches:
             rows = [[], []]
-            for h, other, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for to, other, h, w in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                found = np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint32).astype(np.int64)
                 if other is None:
-                    hub, own = h, shingles(text)
-                elif h != hub:
-                    raise RuntimeError("a hub without its text")
-                elif similarity_of(own, shingles(text)) >= similarity:
+                    hub, own, size = to, found, found[1].sum()
+                elif to != hub:
+                    raise RuntimeError("a hub without its multiset")
+                elif min(size, n := found[1].sum()) >= similarity * max(size, n) and similarity_of(own, found) >= similarity:
                     rows[0].append(other)
-                    rows[1].append(h)
+                    rows[1].append(to)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in rows], ["node", "hub"])
 
     together = hubs.union(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("other"))
@@ -205,9 +218,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     members = cut(bucketed.join(sizes.select("b", "hub"), "b"), "members")
     needed = members.select("node").distinct()
     texts = docs.select(_node(text), F.coalesce(F.col(text), F.lit("")).alias("text")).join(needed, "node").groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts, "texts")
+    sets = cut(multisets(texts), "multisets")
     compared = members.select("b", "hub").distinct()  # hubs that their buckets are done with
-    edges = cut(verified(members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct(), texts, similarity), "links")
+    edges = cut(verified(members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct(), sets, similarity), "links")
     members = members.select("b", "node")
     for at in range(most_rounds + 1):
         roots = components(edges)
@@ -229,7 +242,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             break
         pairs = open_.where(~F.col("was")).join(askers, "b").where(F.col("root") != F.col("hr"))
         pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-        more = verified(pairs, texts, similarity)
+        more = verified(pairs, sets, similarity)
         compared = cut(compared.union(askers.select("b", "hub")), "compared")
         grown = cut(edges.union(more), "links")
         if grown.count() == edges.count() and not work.where(~now).limit(1).count():
