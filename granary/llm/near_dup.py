@@ -8,10 +8,11 @@ of the weighted Jaccard similarity. Only arrivals before a time at which all slo
 made; where one stays empty, the time is doubled.
 
 Documents with equal texts are one node. Nodes that share a band meet in a bucket. Each bucket first compares all its
-members to one hub, so a group of many copies costs as many comparisons as it has members; then, until all members of
-every bucket have been compared that are not already connected, buckets with little left to compare do it at once and
-the others take a few more hubs. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more connect
-nodes, and connected nodes form a class. Rows of one hub are split among tasks, multisets are streamed past the hub's.
+members to one hub, so a group of many copies costs as many comparisons as it has members; the links found connect most
+of them. Then, of the members of a bucket that are not yet connected, those outside its largest connected part are
+compared to all of other parts, block by block, each pair in the first band it shares. So every pair of a bucket is
+compared or connected already. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more
+connect nodes, and connected nodes form a class. No pairs are written but links, and no task gets a whole large bucket.
 
 Null texts count as empty; texts without a word are alike only if equal; repeated rows fall into one class; rows with a
 null key get the class of their text, which is null only if all its keys are; an empty table gives an empty one; other
@@ -25,16 +26,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cache, cut, session_of, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS, ROWS = 120, 5
-#: Members of a hub that one task compares, comparisons that a bucket may do at once, and hubs that others take in the
-#: second round; the number doubles from round to round.
-HUB_ROWS, AT_ONCE, HUBS = 512, 4_096, 16
+#: Members of a hub, or of a block of a bucket, that one task holds.
+HUB_ROWS = 512
 _codes = Cache(lambda word: xxhash.xxh64_intdigest(word))
 
 
@@ -157,15 +157,15 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def multisets(texts: DataFrame) -> DataFrame:
-    """node, h, w: the shingles of each text in order and their numbers, as bytes. texts: node, text."""
+    """node, h, w, bands: the shingles of each text in order and their numbers, as bytes. texts: node, text, bands."""
     small_batches(session_of(texts))
 
     def run(batches):
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in found], pa.binary())], ["node", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in found], pa.binary()), batch.column(2)], ["node", "h", "w", "bands"])
 
-    return texts.mapInArrow(run, "node binary, h binary, w binary")
+    return texts.mapInArrow(run, "node binary, h binary, w binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -195,6 +195,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return together.mapInArrow(run, "node binary, hub binary")
 
 
+def overlaps(hub: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one multiset to several, with one search for all."""
+    h, w = np.concatenate([x[0] for x in others]), np.concatenate([x[1] for x in others])
+    starts = np.cumsum([0] + [len(x[0]) for x in others[:-1]])
+    at = np.minimum(np.searchsorted(hub[0], h), len(hub[0]) - 1)
+    shared = np.add.reduceat(np.where(hub[0][at] == h, np.minimum(hub[1][at], w), 0), starts)
+    return shared / (np.add.reduceat(w, starts) + hub[1].sum() - shared)
+
+
+def compared(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The similar pairs of each bucket between its members outside the largest part and all of another part.
+
+    open_: b, node, root, rest (outside the largest part), parts and blocks (of all members and of those outside). Both
+    sides are dealt in blocks of about HUB_ROWS, every block of one to every block of the other; a pair that shares
+    several bands is compared in the first."""
+    small_batches(session_of(open_), 256)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    hubs = open_.where("rest").withColumn("hb", block("blocks")).select("b", "hb", every("parts").alias("mb"), F.lit(0).alias("role"), "node", "root", "rest")
+    members = open_.withColumn("mb", block("parts")).select("b", every("blocks").alias("hb"), "mb", F.lit(1).alias("role"), "node", "root", "rest")
+    dealt = hubs.union(members).join(sets, "node").select("b", "hb", "mb", "role", "node", "root", "rest", "h", "w", "bands")
+    dealt = dealt.repartition("b", "hb", "mb").sortWithinPartitions("b", "hb", "mb", "role", "node")
+
+    def run(batches):
+        unit, hubs, members = None, [], []
+        joined: set = set()  # parts between which this unit has found a link; more would connect nothing new
+        found: list[list] = [[], []]
+
+        def meet():
+            if members and hubs:
+                nodes, roots, rests, multis, sizes, bands = zip(*members)
+                roots, rests, sizes, bands = np.array(roots, object), np.array(rests), np.array(sizes), np.array(bands)
+                for node, root, _, multi, size, band in hubs:
+                    where = (bands == band).argmax(1)
+                    may = (roots != root) & (bands[np.arange(len(bands)), where] == unit[0]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
+                    may &= ~rests | np.array([n > node for n in nodes])
+                    if len(at := np.flatnonzero(may)):
+                        for i in at[overlaps(multi, [multis[i] for i in at]) >= similarity]:
+                            if (root, roots[i]) not in joined:
+                                joined.add((root, roots[i]))
+                                found[0].append(nodes[i])
+                                found[1].append(node)
+            members.clear()
+
+        for batch in batches:
+            for b, hb, mb, role, node, root, rest, h, w, band in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != (b, hb, mb):
+                    meet()
+                    hubs.clear()
+                    joined.clear()
+                    unit = b, hb, mb
+                weights = np.frombuffer(w, np.uint32).astype(np.int64)
+                row = node, root, rest, (np.frombuffer(h, np.uint64), weights), weights.sum(), np.array(band)
+                (members if role else hubs).append(row)
+                if len(members) == 256:
+                    meet()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["node", "hub"])
+            found = [[], []]
+        meet()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["node", "hub"])
+
+    return dealt.mapInArrow(run, "node binary, hub binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of an edge (node, hub): the least node that it is connected to. Labels spread along edges and jump to their own labels until none changes."""
     both = cut(edges.select("node", "hub").union(edges.select("hub", "node")), "edges")
@@ -210,45 +274,25 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, most_rounds: int = 12) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """key and class_id, the least key of the class, of every row."""
     rows = cut(signed(docs, key, text), "signatures")
     bucketed = rows.select("node", F.explode("bands").alias("b")).distinct()
     sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     members = cut(bucketed.join(sizes.select("b", "hub"), "b"), "members")
-    needed = members.select("node").distinct()
-    texts = docs.select(_node(text), F.coalesce(F.col(text), F.lit("")).alias("text")).join(needed, "node").groupBy("node").agg(F.first("text").alias("text"))
+    needed = members.join(rows.select("node", "bands"), "node").groupBy("node").agg(F.first("bands").alias("bands"))
+    texts = docs.select(_node(text), F.coalesce(F.col(text), F.lit("")).alias("text")).join(needed, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands"))
     sets = cut(multisets(texts), "multisets")
-    compared = members.select("b", "hub").distinct()  # hubs that their buckets are done with
-    edges = cut(verified(members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct(), sets, similarity), "links")
-    members = members.select("b", "node")
-    for at in range(most_rounds + 1):
-        roots = components(edges)
-        placed = members.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("roots > 1")
-        # Of any two unconnected members one is outside the largest part of its bucket; those are still to be compared.
-        open_ = placed.join(mixed.select("b", F.col("top.root").alias("top"), "all"), "b").join(compared.withColumnRenamed("hub", "node").withColumn("was", F.lit(True)), ["b", "node"], "left")
-        open_ = cut(open_.select("b", "node", "root", "top", "all", F.coalesce("was", F.lit(False)).alias("was")), "open")
-        rest = open_.where(~F.col("was") & (F.col("root") != F.col("top")))
-        work = rest.groupBy("b").agg((F.count(F.lit(1)) * F.max("all")).alias("work"))
-        now = F.col("work") <= (AT_ONCE if at < most_rounds else 2**62)
-        asker = ["b", F.col("node").alias("hub"), F.col("root").alias("hr")]
-        askers = rest.join(work.where(now).select("b"), "b").select(*asker)
-        ahead = F.row_number().over(Window.partitionBy("b").orderBy("node"))
-        some = rest.join(work.where(~now).select("b"), "b").withColumn("ahead", ahead).where(F.col("ahead") <= HUBS * 2**at)
-        askers = askers.union(some.select(*asker))
-        askers = cut(askers, "hubs")
-        if not askers.limit(1).count():
-            break
-        pairs = open_.where(~F.col("was")).join(askers, "b").where(F.col("root") != F.col("hr"))
-        pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-        more = verified(pairs, sets, similarity)
-        compared = cut(compared.union(askers.select("b", "hub")), "compared")
-        grown = cut(edges.union(more), "links")
-        if grown.count() == edges.count() and not work.where(~now).limit(1).count():
-            break  # all has been compared and nothing new is connected
-        edges = grown
-    named = rows.select("k", "node").join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    stars = cut(verified(members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct(), sets.select("node", "h", "w"), similarity), "links")
+    # What is still to be compared: of any two unconnected members of a bucket one is outside its largest part, and
+    # the hub has been compared to all.
+    placed = members.join(components(stars), "node", "left").select("b", "node", "hub", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("roots > 1 and all > 2")
+    mixed = mixed.select("b", F.col("top.root").alias("top"), F.ceil(F.col("all") / HUB_ROWS).alias("parts"), F.ceil((F.col("all") - F.col("top.n")) / HUB_ROWS).alias("blocks"))
+    left = placed.where(F.col("node") != F.col("hub")).join(mixed, "b").select("b", "node", "root", (F.col("root") != F.col("top")).alias("rest"), "parts", "blocks")
+    links = cut(stars.union(compared(cut(left, "open"), sets, similarity)), "links")
+    named = rows.select("k", "node").join(components(links), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("class_id"))
     return named.join(least, "root").select(F.col("k").alias(key), "class_id")
 
