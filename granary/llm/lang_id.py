@@ -71,18 +71,34 @@ class LangModel:
     penalty: float = 12.0
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """One for each copy of the model, and so for each worker process: what it remembers outlives a task."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = Scorer(self)
+        return self._scorer
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_scorer"}
 
 
 class Scorer:
     def __init__(self, model: LangModel):
         self.model, self.k = model, len(model.langs)
-        self.contexts = []
+        contexts: list[dict[str, float]] = []
         for grams in model.grams:
             total: dict[str, float] = defaultdict(float)
             for g, n in grams.items():
                 total[g[:2]] += n
-            self.contexts.append(dict(total))
+            contexts.append(total)
+        # Log-likelihoods for all languages: a row for each known gram, for grams unknown after a known start, for the rest.
+        grams = sorted(set().union(*model.grams))
+        starts = sorted(set().union(*contexts))
+        self.gram_rows = {g: i for i, g in enumerate(grams, 1)}
+        self.start_rows = {c: i for i, c in enumerate(starts, len(grams) + 1)}
+        self.logs = np.full((len(grams) + len(starts) + 1, max(self.k, 1)), math.log(0.5 / 30))
+        for j in range(self.k):
+            seen, total = model.grams[j], contexts[j]
+            self.logs[1 : len(grams) + 1, j] = [math.log((seen.get(g, 0) + 0.5) / (total.get(g[:2], 0) + 30)) for g in grams]
+            self.logs[len(grams) + 1 :, j] = [math.log(0.5 / (total.get(c, 0) + 30)) for c in starts]
         self._start()
 
     def _start(self) -> None:
@@ -96,11 +112,9 @@ class Scorer:
         inside = [script in s for s in self.model.scripts]
         if not any(inside):
             return np.zeros(self.k, np.float32)
-        out = np.full(self.k, -np.inf)
-        for j in range(self.k):
-            if inside[j]:
-                grams, contexts = self.model.grams[j], self.contexts[j]
-                out[j] = sum(math.log((grams.get(w[i : i + 3], 0) + 0.5) / (contexts.get(w[i : i + 2], 0) + 30)) for i in range(len(w) - 2))
+        grams, starts = self.gram_rows, self.start_rows
+        rows = [grams.get(w[i : i + 3]) or starts.get(w[i : i + 2], 0) for i in range(len(w) - 2)]
+        out = np.where(inside, self.logs[rows].sum(0), -np.inf)
         return np.maximum(out - out.max(), FLOOR).astype(np.float32)
 
     def index(self, word: str) -> int:
