@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import Cache, cut, session_of, small_batches
 
 END = 0
+#: ASCII marks other than the apostrophe and the underscore.
+MARKS = ".,;:!?%*&$#"
 
 
 class Encoder:
@@ -39,12 +41,19 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = Cache(self.ids, most=200_000)
-        self.spaced = Cache(lambda word: self.ids(" " + word))
+        self.spaced = Cache(self._spaced)
         self.line_end = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _spaced(self, word: str) -> bytes:
+        """Of a word after a blank. Marks after a letter or digit start a token of their own, so both parts are looked up."""
+        core = word.rstrip(MARKS)
+        if core and core != word and core[-1].isalnum():
+            return self.spaced[core] + self.bare[word[len(core) :]]
+        return self.ids(" " + word)
+
     def encode(self, text: str) -> bytes:
         """A blank or line end between two visible characters always starts a new token, so what stands between them can be encoded alone; any other text goes through the library as it is."""
         lines = text.split("\n")
