@@ -198,6 +198,7 @@ def infer(cells: list[str], na: set[str]) -> str:
 
 def read(spark: SparkSession, path: str, **options) -> Frame:
     o = Options(**options)
+    o.multi_line |= o.skiprows > 0  # rows to skip are told from others only in a whole file
     if o.multi_line:
         lines = spark.read.text(path, wholetext=True)
     else:
