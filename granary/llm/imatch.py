@@ -34,6 +34,8 @@ MARKS = string.punctuation + "«»“”„‘’…–—¿¡。、，；：？
 SLOTS = 48
 HALVINGS = (0, 2, 4, 5, 6, 7, 7, 8, 8, 9, 9, 9, 10, 10, 10, 10)
 EMPTY = "-" * 8
+#: Ranges of the key, so that the list of their ends stays small; beyond, ranges hold more rows, which are streamed.
+MOST_PARTS = 4_096
 
 
 def terms(text: str) -> set[str]:
@@ -131,12 +133,12 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, key: str, text: str, rows: int) -> tuple[DataFrame, int]:
-    """The number of parts, and rows k, t, part, guest: parts of about `rows` rows by ranges of the key, each sorted downwards, with the first row of the next non-empty part as a guest at the end."""
+    """Rows k, t, part, guest, and the number of parts: parts of about `rows` rows, at most MOST_PARTS, by ranges of the key, each sorted downwards, with the first row of the next non-empty part as a guest at the end."""
     spark = session_of(docs)
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = base.count()
-    cuts = sorted(set(base.stat.approxQuantile("k", [i / (n // rows + 1) for i in range(1, n // rows + 1)], 0.1 / (n // rows + 1)))) if n > rows else []
-    cuts = [int(c) for c in cuts]
+    wanted = min(n // rows, MOST_PARTS)
+    cuts = sorted({int(c) for c in base.stat.approxQuantile("k", [i / (wanted + 1) for i in range(1, wanted + 1)], 0.1 / (wanted + 1))}) if wanted else []
     # Part 0 holds the largest keys; null keys come last. Cuts are as many as the parts.
     below = F.lit(0)
     if cuts:

@@ -274,8 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """key and class_id, the least key of the class, of every row."""
+def grouped(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """k, node (of the text) and root (of the class) of every row."""
     rows = cut(signed(docs, key, text), "signatures")
     bucketed = rows.select("node", F.explode("bands").alias("b")).distinct()
     sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -292,14 +292,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     mixed = mixed.select("b", F.col("top.root").alias("top"), F.ceil(F.col("all") / HUB_ROWS).alias("parts"), F.ceil((F.col("all") - F.col("top.n")) / HUB_ROWS).alias("blocks"))
     left = placed.where(F.col("node") != F.col("hub")).join(mixed, "b").select("b", "node", "root", (F.col("root") != F.col("top")).alias("rest"), "parts", "blocks")
     links = cut(stars.union(compared(cut(left, "open"), sets, similarity)), "links")
-    named = rows.select("k", "node").join(components(links), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    return rows.select("k", "node").join(components(links), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """key and class_id, the least key of the class, of every row."""
+    named = grouped(docs, key, text, similarity)
     least = named.groupBy("root").agg(F.min("k").alias("class_id"))
     return named.join(least, "root").select(F.col("k").alias(key), "class_id")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The rows, all columns unchanged, that have the least key of their class, once each."""
-    found = classes(docs, key, text, similarity)
-    keep = found.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_granary_key")).distinct()
-    kept = docs.join(keep, F.col(key).eqNullSafe(F.col("_granary_key"))).drop("_granary_key")
-    return kept.dropDuplicates([key])
+    """One row of each class, all columns unchanged: one of least key (null only if all are) and, of these, of least hash of the text."""
+    found = grouped(docs, key, text, similarity)
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("missing"), "k", "node")).alias("top")).select(F.col("top.k").alias("_granary_key"), F.col("top.node").alias("_granary_node"))
+    kept = docs.withColumn("_granary_text", _node(text)).join(keep, F.col(key).cast("bigint").eqNullSafe(F.col("_granary_key")) & (F.col("_granary_text") == F.col("_granary_node")))
+    return kept.dropDuplicates(["_granary_text"]).select(docs.columns)

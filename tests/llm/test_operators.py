@@ -288,6 +288,15 @@ def test_near_duplicates(copies, empty, spark):
     assert near_dup.classes(empty).count() == 0
 
 
+def test_one_of_each_group_stays_without_keys(spark):
+    base = _words(np.random.default_rng(9), 100)
+    near, other = " ".join([*base[:-1], "other"]), " ".join(_words(np.random.default_rng(10), 100))
+    rows = [(None, " ".join(base), 1), (None, near, 2), (None, other, 3), (None, other, 4), (7, "one", 5), (7, "two", 6), (7, "two", 7), (None, "two", 8)]
+    kept = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string, k int")).collect()
+    assert Counter((r["doc_id"], r["text"] in (" ".join(base), near) or r["text"]) for r in kept) == Counter([(None, True), (None, other), (7, "one"), (7, "two")])
+    assert near_dup.deduplicated(spark.createDataFrame([], "doc_id bigint, text string, k int")).count() == 0
+
+
 # Fingerprints
 
 
