@@ -30,15 +30,15 @@ class Codec:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
+        self.normal = set(self.model.ids.values())
         self.part = Cache(self._part)
+        self.mapped = Cache(self._mapped)
         self.word = Cache(self._word)
 
     def _part(self, part: str) -> tuple[list[int], list[int]]:
         """Identifiers of a part and the characters that each covers."""
         model, ids, sizes = self.model, [], []
         for s in model.merge(part)[0]:
-            if not s:
-                continue
             known = model.ids.get(s)
             if known is not None:
                 ids.append(known)
@@ -59,18 +59,30 @@ class Codec:
             sizes += b
         return ids, sizes
 
-    def _word(self, word: str) -> tuple[str, bytes, str]:
-        """Of a word after one blank: identifiers joined by commas, the source bytes of each piece, the decoded text."""
-        ids, sizes = self._segment(segment := SPACE + word)
-        at, spans = 0, []
-        for size in sizes:
-            spans.append(len(segment[at : at + size].encode()) - 2 * (at == 0 < size))  # the mark for a blank takes three bytes
-            at += size
+    def _mapped(self, part: str) -> tuple[str, bytes, str]:
+        """Of a part of a word after one blank: identifiers joined by commas, the source bytes of each piece, the decoded text."""
+        ids, sizes = self._part(part)
+        spans = sizes
+        if not part[part[0] == SPACE :].isascii():
+            at, spans = 0, []
+            for size in sizes:
+                spans.append(len(part[at : at + size].encode()) - 2 * (at == 0 < size and part[0] == SPACE))  # the mark for a blank takes three bytes
+                at += size
         return ",".join(map(str, ids)), array("I", spans).tobytes(), self.pieces_text(ids)
 
+    def _word(self, word: str) -> tuple[str, bytes, str]:
+        """The same of the whole word; no character's bytes reach from one part into the next."""
+        found = [self.mapped[part] for part in self.model.parts(SPACE + word)]
+        if len(found) == 1:
+            return found[0]
+        ids, spans, texts = zip(*found)
+        return ",".join(ids), b"".join(spans), "".join(texts)
+
     def pieces_text(self, ids: list[int]) -> str:
         """Text of the pieces, blanks restored, the first one too."""
         model, out, held = self.model, [], bytearray()
+        if self.normal.issuperset(ids):
+            return "".join(map(model.pieces.__getitem__, ids)).replace(SPACE, " ")
         for i in ids:
             if model.kinds[i] == BYTE:
                 held.append(int(model.pieces[i][3:5], 16))

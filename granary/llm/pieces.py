@@ -139,33 +139,24 @@ class PieceModel:
 
     def parts(self, segment: str) -> list[str]:
         """The segment cut where no piece could reach across."""
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(segment)):
-            if segment[i - 1 : i + 1] not in pairs:
-                out.append(segment[start:i])
-                start = i
-        out.append(segment[start:])
-        return out
+        pairs = self.pairs
+        cuts = [i for i, (a, b) in enumerate(zip(segment, segment[1:]), 1) if a + b not in pairs]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])] if cuts else [segment]
 
     def merge(self, part: str) -> tuple[list[str], int]:
-        """Heap and linked list: pops the pair of lowest rank again and again. Symbols with merged ones emptied, and the number of merges."""
-        rank, symbols, n, done = self.rank, list(part), len(part), 0
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rank[p], i, i + 1, len(p)) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
+        """Heap and linked list: pops the pair of lowest rank again and again. The symbols left, and the number of merges."""
+        rank, n, done = self.rank.get, len(part), 0
+        end, begin = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that begins, or ends, at a place; 0 once merged
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(part[i : i + 2])) is not None]
         heapify(heap)
         while heap:
-            _, a, b, size = heappop(heap)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != size:
+            _, a, b, c = heappop(heap)
+            if end[a] != b or end[b] != c:
                 continue  # one of them has been merged since
-            symbols[a] += symbols[b]
-            symbols[b] = ""
+            end[a], end[b], begin[c] = c, 0, a
             done += 1
-            after = right[a] = right[b]
-            if after < n:
-                left[after] = a
-                if (p := symbols[a] + symbols[after]) in rank:
-                    heappush(heap, (rank[p], a, after, len(p)))
-            before = left[a]
-            if before >= 0 and (p := symbols[before] + symbols[a]) in rank:
-                heappush(heap, (rank[p], before, a, len(p)))
-        return symbols, done
+            if c < n and (r := rank(part[a : end[c]])) is not None:
+                heappush(heap, (r, a, c, end[c]))
+            if a and (r := rank(part[begin[a] : c])) is not None:
+                heappush(heap, (r, begin[a], a, c))
+        return [part[a:b] for a, b in enumerate(end) if b], done

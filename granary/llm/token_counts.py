@@ -32,7 +32,7 @@ class Counter:
         symbols, merges = self.model.merge(part)
         known, count = self.model.ids, len(part) - merges
         if self.model.bytes:
-            count += sum(len(s.encode()) - 1 for s in symbols if s and s not in known)
+            count += sum(len(s.encode()) - 1 for s in symbols if s not in known)
         return count
 
     def _segment(self, segment: str) -> int:
