@@ -103,6 +103,7 @@ class Scorer:
 
     def _start(self) -> None:
         self.ids: dict[str, int] = {}
+        self.taken = 0  # rows of the table, also those of words no longer remembered
         self.table = np.zeros((4096, max(self.k, 1)), np.float32)
         self.letters = np.zeros(4096, np.int32)
 
@@ -118,7 +119,8 @@ class Scorer:
         return np.maximum(out - out.max(), FLOOR).astype(np.float32)
 
     def index(self, word: str) -> int:
-        n = len(self.ids)
+        n = self.taken
+        self.taken += 1
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
@@ -129,14 +131,13 @@ class Scorer:
 
     def label(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Label, letters and scores of each word."""
-        if len(self.ids) > MOST_WORDS:
+        if self.taken > MOST_WORDS:
             self._start()
         get, new = self.ids.get, self.index
         index = np.array([i if (i := get(w)) is not None else new(w) for w in words])
         scores, letters = self.table[index], self.letters[index]
         for w in {w for w in words if len(w) > LONG_WORD}:
             del self.ids[w]
-            self.ids[f"\0{len(self.ids)}"] = -1  # its row of the table stays taken
         return self._viterbi(scores), letters, scores
 
     def _viterbi(self, scores: np.ndarray) -> np.ndarray:

@@ -117,6 +117,19 @@ def test_language(spark, docs, empty):
     assert lang_id.label_spans(docs, model).where("doc_id = 7").count() >= 1
 
 
+def test_long_words_leave_the_memory_of_words_whole():
+    grams = [Counter(w[i : i + 3] for w in f"^{text.replace(' ', '$ ^')}$".split() for i in range(len(w) - 2)) for text in ("der hund und die katze nicht", "the cat and this thing with")]
+    model = lang_id.LangModel(["de", "en"], grams, [{"latin"}, {"latin"}])
+    used = lang_id.Scorer(model)
+    used.predict(" ".join(c * 50 for c in "abcdef") + " the cat and hund")
+    for text in ("der hund und", "die katze nicht", "with this thing", "the cat", "hund cat die thing", "der hund und"):
+        fresh = lang_id.Scorer(model)
+        words = text.split()
+        assert used.predict(text) == fresh.predict(text)
+        for got, want in zip(used.label(words), fresh.label(words)):
+            assert (got == want).all()
+
+
 def test_language_held_out_accuracy(spark):
     from granary.llm.queries import op1_language
 
