@@ -99,6 +99,13 @@ class Scorer:
             seen, total = model.grams[j], contexts[j]
             self.logs[1 : len(grams) + 1, j] = [math.log((seen.get(g, 0) + 0.5) / (total.get(g[:2], 0) + 30)) for g in grams]
             self.logs[len(grams) + 1 :, j] = [math.log(0.5 / (total.get(c, 0) + 30)) for c in starts]
+        # What a letter drawn evenly from as many letters as each language uses (their perplexity) would score.
+        self.chance = np.zeros(max(self.k, 1))
+        for j, grams in enumerate(model.grams):
+            used: Counter = Counter()
+            for g, n in grams.items():
+                used[g[2:]] += n
+            self.chance[j] = sum(n * math.log(n / used.total()) for n in used.values()) / max(used.total(), 1)
         self._start()
 
     def _start(self) -> None:
@@ -106,17 +113,22 @@ class Scorer:
         self.taken = 0  # rows of the table, also those of words no longer remembered
         self.table = np.zeros((4096, max(self.k, 1)), np.float32)
         self.letters = np.zeros(4096, np.int32)
+        self.likely = np.zeros(4096, bool)
 
     def scores(self, word: str) -> np.ndarray:
         """At most 0 for each language, 0 for the likeliest; all 0 where the word tells nothing."""
+        return self._weigh(word)[0]
+
+    def _weigh(self, word: str) -> tuple[np.ndarray, bool]:
+        """Scores, and whether a learned language of the word's script makes it likelier than chance does."""
         script, w = script_of(word), f"^{word}$"
         inside = [script in s for s in self.model.scripts]
         if not any(inside):
-            return np.zeros(self.k, np.float32)
+            return np.zeros(self.k, np.float32), False
         grams, starts = self.gram_rows, self.start_rows
         rows = [grams.get(w[i : i + 3]) or starts.get(w[i : i + 2], 0) for i in range(len(w) - 2)]
         out = np.where(inside, self.logs[rows].sum(0), -np.inf)
-        return np.maximum(out - out.max(), FLOOR).astype(np.float32)
+        return np.maximum(out - out.max(), FLOOR).astype(np.float32), bool((out > len(rows) * self.chance).any())
 
     def index(self, word: str) -> int:
         n = self.taken
@@ -124,21 +136,27 @@ class Scorer:
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.table[n] = self.scores(word)
+            self.likely = np.concatenate([self.likely, np.zeros_like(self.likely)])
+        self.table[n], self.likely[n] = self._weigh(word)
         self.letters[n] = len(word)
         self.ids[word] = n
         return n
 
     def label(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Label, letters and scores of each word."""
+        scores, letters, _ = self._look(words)
+        return self._viterbi(scores), letters, scores
+
+    def _look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and letters of each word, and whether a language explains it."""
         if self.taken > MOST_WORDS:
             self._start()
         get, new = self.ids.get, self.index
         index = np.array([i if (i := get(w)) is not None else new(w) for w in words])
-        scores, letters = self.table[index], self.letters[index]
+        scores, letters, likely = self.table[index], self.letters[index], self.likely[index]
         for w in {w for w in words if len(w) > LONG_WORD}:
             del self.ids[w]
-        return self._viterbi(scores), letters, scores
+        return scores, letters, likely
 
     def _viterbi(self, scores: np.ndarray) -> np.ndarray:
         penalty, best = self.model.penalty, int(scores.sum(0).argmax())
@@ -161,16 +179,21 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float, int]:
         """Language of most letters, its score, number of spans."""
+        return self.judge(text)[:3]
+
+    def judge(self, text: str | None) -> tuple[str, float, int, float]:
+        """What predict gives, and the share of the letters in words that learned languages explain."""
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.k:
-            return UNDETERMINED, 0.0, 0
-        labels, letters, scores = self.label(words)
+            return UNDETERMINED, 0.0, 0, 0.0
+        scores, letters, likely = self._look(words)
+        labels = self._viterbi(scores)
         weight = np.bincount(labels, letters, self.k)
         top = int(weight.argmax())
         spans = 1 + int((labels[1:] != labels[:-1]).sum())
         odds = np.exp(scores[labels == top])
         sure = float((odds[:, top] / odds.sum(1)).mean())
-        return self.model.langs[top], min(1.0, max(0.0, float(weight[top] / weight.sum()) * sure)), spans
+        return self.model.langs[top], min(1.0, max(0.0, float(weight[top] / weight.sum()) * sure)), spans, float(letters[likely].sum() / letters.sum())
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Start and end (code points) and language of each run of words with one label."""
@@ -249,8 +272,11 @@ def label_spans(docs: DataFrame, model: LangModel, key: str = "doc_id", text: st
     return picked.mapInArrow(run, f"`{key}` {kind}, start bigint, end bigint, lang string")
 
 
-def accepted(docs: DataFrame, model: LangModel, text: str = "text", min_score: float = 0.15) -> DataFrame:
-    """The rows, all columns unchanged, whose text has a determined language with at least min_score."""
+def accepted(docs: DataFrame, model: LangModel, text: str = "text", min_score: float = 0.15, min_explained: float = 0.5) -> DataFrame:
+    """The rows, all columns unchanged, whose text has a determined language with at least min_score, and at least min_explained of its letters in words that learned languages explain.
+
+    min_score is below chance for up to six languages; min_explained does not depend on their number.
+    """
     small_batches(session_of(docs))
     held = session_of(docs).sparkContext.broadcast(model)
 
@@ -258,7 +284,7 @@ def accepted(docs: DataFrame, model: LangModel, text: str = "text", min_score: f
         scorer = held.value.scorer()
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            found = map(scorer.predict, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([name != UNDETERMINED and score >= min_score for name, score, _ in found], pa.bool_()))
+            found = map(scorer.judge, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= min_score and share >= min_explained for name, score, _, share in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -130,6 +130,16 @@ def test_long_words_leave_the_memory_of_words_whole():
             assert (got == want).all()
 
 
+@pytest.mark.parametrize("n_langs", [2, 4, 6, 8])
+def test_texts_that_no_language_explains_are_rejected(spark, n_langs):
+    words = ["the cat and this thing with that whole other", "der hund und die katze nicht schön", "el perro que come las cosas", "le chien avec une chose dans", "il gatto della casa sono", "een hond van het huis niet", "den katten som ikke er", "uma coisa para não com"]
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(w.split())), f"l{j}") for i, (j, w) in enumerate(list(enumerate(words[:n_langs])) * 10)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    texts = ["the cat and that other thing", "der hund und die katze", "это русский текст про кошку", "这是一个很长的中文文本", "هذا نص عربي طويل", "xqzvk wqjzx kvqpz zzxqj", "это русский текст про кошку the cat"]
+    got = lang_id.accepted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1]
+
+
 def test_language_held_out_accuracy(spark):
     from granary.llm.queries import op1_language
 
