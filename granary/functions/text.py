@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from ..types import DICT, LIST, STRING, VECTOR
 
 
+def _bound(c: Column, f) -> Column:
+    """f of a column that is computed once and not again for each item of an inner lambda."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _counted(items: Column) -> Column:
-    """How often each item occurs, as a map in order of first appearance."""
-    return F.map_from_entries(F.transform(F.array_distinct(items), lambda x: F.struct(x, F.size(F.filter(items, lambda y: y == x)).cast("long"))))
+    """How often each item occurs, as a map in order of first appearance: equal items stand together once sorted."""
+
+    def runs(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[F.greatest(i - 1, F.lit(0))]["x"] != s[i]["x"]))
+        return _bound(F.when(F.size(s) > 0, first).otherwise(F.array().cast("array<int>")), lambda at: F.array_sort(F.transform(at, lambda i, j: F.struct(s[i]["i"].alias("i"), s[i]["x"].alias("x"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("n")))))
+
+    found = _bound(F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), runs)
+    return F.when(items.isNotNull(), F.map_from_entries(F.transform(found, lambda r: F.struct(r["x"], r["n"]))))
 
 
 def _lower(c: Column, lower: bool) -> Column:
@@ -24,23 +35,29 @@ def words(c: Column) -> Column:
 def bag_of_words(c: Column, lower: bool = True) -> Column:
     """Words between blanks, without what is not letter or digit at their ends, and their counts."""
     trimmed = F.transform(words(_lower(c, lower)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return _counted(F.filter(trimmed, lambda w: w != ""))
+    return _bound(F.filter(trimmed, lambda w: w != ""), _counted)
+
+
+def _grams(items: Column, n: int, between: str) -> Column:
+    """Runs of n items; none where there are fewer."""
+
+    def runs(w):
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), between))
+        return F.when(F.size(w) >= n, found).otherwise(F.when(w.isNotNull(), F.array().cast("array<string>")))
+
+    return _bound(items, runs)
 
 
 def word_ngrams(c: Column, n: int = 2, lower: bool = True) -> Column:
     if n < 1:
         raise ValueError("n must be positive")
-    w = words(_lower(c, lower))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return _counted(F.when(F.size(w) >= n, grams).otherwise(F.when(c.isNotNull(), F.array().cast("array<string>"))))
+    return _bound(_grams(words(_lower(c, lower)), n, " "), _counted)
 
 
 def char_ngrams(c: Column, n: int = 2, lower: bool = True) -> Column:
     if n < 1:
         raise ValueError("n must be positive")
-    s = _lower(c, lower)
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, n))
-    return _counted(F.when(F.length(s) >= n, grams).otherwise(F.when(c.isNotNull(), F.array().cast("array<string>"))))
+    return _bound(_grams(F.split(_lower(c, lower), ""), n, ""), _counted)
 
 
 def contains(c: Column, part: str) -> Column:

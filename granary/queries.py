@@ -422,6 +422,25 @@ def char_ngrams(spark, d):
     return _counts(f, f["r_name"].count_character_ngrams(3))
 
 
+# The same over whole documents.
+@_query(r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), t AS (SELECT doc_id, regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS k FROM w) SELECT doc_id, k, count(*) AS c FROM t WHERE k <> '' GROUP BY 1, 2")
+def bag_of_words_documents(spark, d):
+    f = _frame(spark, d, "documents")[["doc_id", "text"]]
+    return _counts(f, f["text"].count_bag_of_words())
+
+
+@_query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS k FROM w WHERE len(w) > 1) SELECT doc_id, k, count(*) AS c FROM t GROUP BY 1, 2")
+def word_ngrams_documents(spark, d):
+    f = _frame(spark, d, "documents")[["doc_id", "text"]]
+    return _counts(f, f["text"].count_ngrams(2))
+
+
+@_query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '(?s).') AS w FROM documents), t AS (SELECT doc_id, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda z: z[1] || z[2] || z[3])) AS k FROM w WHERE len(w) > 2) SELECT doc_id, k, count(*) AS c FROM t GROUP BY 1, 2")
+def char_ngrams_documents(spark, d):
+    f = _frame(spark, d, "documents")[["doc_id", "text"]]
+    return _counts(f, f["text"].count_character_ngrams(3))
+
+
 def _props(spark, d) -> Frame:
     df = _frame(spark, d, "events").df
     return Frame(df.select("event_id", F.create_map(F.lit("type"), F.length("event_type").cast("long"), F.lit("user"), "user_id").alias("m")))
