@@ -44,6 +44,8 @@ TOKEN = re.compile(
     re.ASCII | re.MULTILINE,
 )
 ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]{6,})</\1>", re.ASCII)
+#: A value without quotes: the source up to a blank, comma, semicolon, closing bracket or line end. Calls and indices are none.
+BARE = re.compile(r"""[^\s,;(){}\[\]<>"'`]+(?=[\s,;)}\]]|$)""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -94,7 +96,12 @@ class Lexer:
                 self.line(text[first : at - 1], first)
         for m in ELEMENT.finditer(text):
             self.pair(m[1], m[2], [(m.start(2), m.end(2))])
-        return self.found
+        found, end = [], 0
+        for f in sorted(set(self.found), key=lambda f: (f[1], -f[2])):  # one inside another goes
+            if f[2] > end:
+                found.append(f)
+                end = f[2]
+        return found
 
     def line(self, line: str, first: int) -> None:
         tokens = [(m.lastgroup, m[0], first + m.start(), first + m.end()) for m in TOKEN.finditer(line) if m.lastgroup != "comment"]
@@ -106,8 +113,13 @@ class Lexer:
                 continue
             op, j = tokens[i + 1][1], i + 2
             if op == ":" and j + 2 < len(tokens) and tokens[j][0] == "word" and tokens[j + 1][1] == "=":
-                j += 2  # a type between name and value
+                typed = BARE.match(line, tokens[j][2] - first)
+                if not typed or first + typed.end() <= tokens[j][3]:
+                    j += 2  # a type between name and value
             got = self.value(tokens, j)
+            bare = BARE.match(line, tokens[j][2] - first)
+            if got and bare and tokens[got[2] - 1][3] < first + bare.end():
+                got = None  # a known name that only begins the value
             name = name.strip("\"'`")
             if got:
                 value, where, i = got
@@ -117,9 +129,14 @@ class Lexer:
                 self.pair(name, value, where)
             else:
                 i = j
-                kind, word, a, b = tokens[j]
-                if kind in ("word", "other") and (j + 1 == len(tokens) or tokens[j + 1][1] in ",;}") and any(c.isdigit() for c in word):
-                    self.pair(name, word, [(a, b)])  # a bare value of a key-value file
+                if bare and any(c.isdigit() for c in bare[0]):  # a bare value of a key-value file
+                    end = first + bare.end()
+                    after = next((k for k in range(j, len(tokens)) if tokens[k][2] >= end), len(tokens))
+                    if after == len(tokens) or tokens[after][1] != "+":
+                        before = len(self.found)
+                        self.known[name] = bare[0], [(first + bare.start(), end)]
+                        self.pair(name, *self.known[name])
+                        i = after if len(self.found) > before else j  # else assignments inside it are read
 
     def value(self, tokens: list, j: int):
         """What a literal, a known name or a sum of them comes to, where it was written, and the next token."""

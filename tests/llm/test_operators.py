@@ -200,6 +200,24 @@ def test_lexing(text, wanted):
     assert [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == "literal"] == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxR4", ["wJalrXUtnFEMI/K7MDENG/bPxR4"]),
+        ("DB_PWD=Tr0ub4dor&3\nx: 1", ["Tr0ub4dor&3"]),
+        ("private_key: MIIEvQ1B+ADk==", ["MIIEvQ1B+ADk=="]),
+        ("{private_key: MIIEvQ1B+ADk=, other: 1}", ["MIIEvQ1B+ADk="]),
+        ("export DB_PWD=q1!w2@e3 # note", ["q1!w2@e3"]),
+        ("KEY=a1b2c3d4e5\napi_secret = KEY", ["a1b2c3d4e5"]),
+        ("KEY=a1b2c3d4e5\nDB_PWD=KEY/x7y8", ["KEY/x7y8"]),
+        ("cmd: password=abc12345", ["abc12345"]),
+        ("user_pwd = hash(x1)+y2\nauth_key = sha256_digest + x1", []),
+    ],
+)
+def test_bare_values_are_read_whole(text, wanted):
+    assert [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == "literal"] == wanted
+
+
 def test_secret_table(docs, empty):
     got = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
     assert got[8]["n_assign"] == 1 and got[0]["spans"] == "" and len(got) == len(TEXTS) + 1
