@@ -6,9 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; documents can hold 100 kB and more each.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch; documents can hold 100 kB and more each.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Rows in a file of a table whose size is known before it is written.
+FILE_ROWS = 100_000
+#: Rows of a counted table of keys that are broadcast at most; beyond, the join is left to Spark. The result is the same.
+BROADCAST_ROWS = 200_000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -16,16 +21,19 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows that a Python worker holds at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Bounds the rows and bytes that a Python worker is sent at once. The settings stay, as results are computed later."""
+    for key, most, usual in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", BATCH_BYTES, str(2**31 - 1))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key, usual).rstrip("Bb")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all is one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -35,27 +43,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages restart from the files, not from the lineage."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: later stages restart from the files, not from the lineage.
+
+    rows: about how many there are, where that is known: the number of files follows it."""
     spark = session_of(df)
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.coalesce(-(-max(rows, 1) // FILE_ROWS))).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
 
 
-def remove(spark: SparkSession, *tables: DataFrame) -> None:
+def remove(*tables: DataFrame) -> None:
     """Deletes tables of cut() of which nothing is read any more."""
     for table in tables:
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            if "/granary/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = session_of(table)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._granary_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checked(keys: DataFrame, rows: int) -> DataFrame:
+    """keys, a table of few narrow columns with so many rows, marked for broadcast if they are few enough."""
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
 
 
 class Cache(dict):
     """Remembers make(key); it starts afresh when full, so that memory stays bounded."""
 
-    def __init__(self, make, most: int = 600_000, longest: int = 48):
+    def __init__(self, make, most: int = 200_000, longest: int = 48):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -1,6 +1,7 @@
 """Mixture-controlled packing of documents into sequences.
 
-Documents are tokenised once into a table in the shared folder; a shard is a hash of the key, about `shard_tokens` tokens.
+Documents are tokenised once into a table in the shared folder, which numbers its rows; a shard is a hash of that
+number, about `shard_tokens` tokens, whatever keys repeat.
 In a shard every source has a queue, and deficit round-robin fills one window after another: each source is credited its
 target share of the window and gives as many tokens as its deficit allows, cutting documents freely; what a window still
 lacks is dealt among the sources with tokens left. Deficits go from window to window and from shard to shard: what a
@@ -10,81 +11,122 @@ those of the corpus, so that all queues end together.
 
 The stream of a shard is cut into sequences of `capacity` tokens; its rest, below capacity, into powers of two, which
 need no padding. Null texts count as empty (they hold the end token alone); null sources form one source; repeated rows
-are packed each; an empty table gives an empty one; columns besides key, text and source are not read.
+are packed each; a text longer than a shard makes its shard longer, as no text is dealt to two; an empty table gives an
+empty one; columns besides key, text and source are not read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Cache, cut, session_of, small_batches
 
 END = 0
-#: ASCII marks other than the apostrophe and the underscore.
-MARKS = ".,;:!?%*&$#"
+# Fixed value: how the byte-level split cuts a text without blanks but the first.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+#: Below it the letters and digits have been the same in all versions of Unicode that libraries use; words beyond go through the library.
+SETTLED = "\u0530"
+#: Shards in a block of running sums.
+BLOCK = 1_024
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next from 256 up."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
 
 
 class Encoder:
-    """Identifiers of a byte-level pair tokenizer as arrays; words between single blanks are remembered."""
+    """Identifiers of a byte-level pair tokenizer as arrays; words between single blanks, and their parts, are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.code, self.kind = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = Cache(self.ids, most=200_000)
-        self.spaced = Cache(self._spaced)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = rules.get("pre_tokenizer") or {}
+        # The byte-level split starts a token at every blank or line end between visible characters; of others nothing is assumed.
+        self.apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not rules.get("normalizer")
+        self.bare = Cache(self._bare, most=100_000)
+        self.spaced = Cache(self._spaced, most=500_000)
         self.line_end = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Of what the split leaves whole: the model alone gives it."""
+        return array(self.code, [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _bare(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or max(word) < SETTLED):
+            return self._part(word)
+        if not word.isascii() and max(word) >= SETTLED:
+            return self.ids(word)
+        parts = SPLIT.findall(word)
+        return self._part(word) if len(parts) == 1 else b"".join(map(self.bare.__getitem__, parts))
 
     def _spaced(self, word: str) -> bytes:
-        """Of a word after a blank. Marks after a letter or digit start a token of their own, so both parts are looked up."""
-        core = word.rstrip(MARKS)
-        if core and core != word and core[-1].isalnum():
-            return self.spaced[core] + self.bare[word[len(core) :]]
-        return self.ids(" " + word)
+        """Of a word after a blank."""
+        if word.isalpha() and (word.isascii() or max(word) < SETTLED):
+            return self._part(" " + word)
+        if not word.isascii() and max(word) >= SETTLED:
+            return self.ids(" " + word)
+        first, *parts = SPLIT.findall(" " + word)
+        if not parts:
+            return self._part(first)
+        return (self.spaced[first[1:]] if first[0] == " " else self.bare[first]) + b"".join(map(self.bare.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """A blank or line end between two visible characters always starts a new token, so what stands between them can be encoded alone; any other text goes through the library as it is."""
+        if not self.apart or any(m in text for m in self.marks):
+            return self.ids(text)
         lines = text.split("\n")
-        if any(m in text for m in self.marks) or not all(x and x[0] != " " != x[-1] and x.isprintable() and "  " not in x for x in lines):
+        if not all(x and x[0] != " " != x[-1] and x.isprintable() and "  " not in x for x in lines):
             return self.ids(text)
-        out = []
+        out, get = [], self.spaced.__getitem__
         for line in lines:
             first, *rest = line.split(" ")
-            out.append(self.bare[first] + b"".join(map(self.spaced.__getitem__, rest)))
+            out.append(self.bare[first] + b"".join(map(get, rest)))
         return self.line_end.join(out)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """One for each worker process, so that what it remembers outlives a task."""
     return Encoder(path)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """k, s, n and ids of every whole text, the end token last."""
+    """k, s, n and ids of every whole text, the end token last; i numbers the rows, repeated ones and those without key too."""
     small_batches(session_of(docs))
 
     def run(batches):
-        encoder = encoder_of(tokenizer_path)
+        encoder, row = encoder_of(tokenizer_path), TaskContext.get().partitionId() << 40
         end, width = np.array([END], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         for batch in batches:
-            ids = [(encoder.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["k", "s", "n", "width", "ids"])
+            ids = [x + end for x in (encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist())]
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(range(row, row + n), pa.int64()), pa.array([width] * n, pa.int32()), pa.array(ids, pa.binary())], ["k", "s", "n", "i", "width", "ids"])
+            row += n
 
     picked = docs.select(F.col(key).cast("bigint"), F.col(text), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    return picked.mapInArrow(run, "k bigint, s string, n bigint, width int, ids binary")
+    return picked.mapInArrow(run, "k bigint, s string, n bigint, i bigint, width int, ids binary")
 
 
 def rounds(queues: dict[str, deque], shares: dict[str, float], owed: dict[str, float], window: int):
@@ -140,24 +182,40 @@ def bounds(total: int, capacity: int) -> list[int]:
     return ends
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 1024, window_sequences: int = 64, shard_tokens: int = 4_000_000, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece (and ids, if asked for)."""
-    tokens = cut(tokenised(docs, tokenizer_path, key, text, source), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("k", "n"), F.lit(shards)).cast("int"))
+def shard_of(shards: int) -> Column:
+    """The shard of a row: by its number, so that repeated rows and rows without key are spread as others are."""
+    return F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int")
+
+
+def before(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, shard and sofar: what value sums to over the shards before, within blocks of shards and over whole blocks."""
+    block = F.floor(F.col("shard") / BLOCK).alias("block")
+    every = counts.groupBy(*keys, block, "shard").agg(F.sum(value).alias("v"))
+    whole = every.groupBy(*keys, "block").agg(F.sum("v").alias("v"))
+    ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*keys, "block", F.coalesce(F.sum("v").over(ahead(*keys).orderBy("block")), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("v").over(ahead(*keys, "block").orderBy("shard")), F.lit(0))
+    return every.select(*keys, "block", "shard", own.alias("own")).join(whole, [*keys, "block"]).select(*keys, "shard", (F.col("own") + F.col("base")).alias("sofar"))
+
+
+def carried(dealt: DataFrame, total: int, targets: dict[str, float] | None = None) -> DataFrame:
+    """shard, s, share and owed: what each source is owed at the start of each shard that holds it. dealt: shard, s, n."""
     counts = dealt.groupBy("shard", "s").agg(F.sum("n").alias("n"))
     by_source = counts.groupBy("s").agg(F.sum("n").alias("all"))
     if targets:
-        listed = session_of(docs).createDataFrame(list(targets.items()), "s string, target double")
+        listed = session_of(dealt).createDataFrame(list(targets.items()), "s string, target double")
         by_source = by_source.join(F.broadcast(listed), "s", "left").select("s", F.coalesce("target", F.lit(0.0)).alias("share"))
     else:
         by_source = by_source.select("s", (F.col("all") / F.lit(total)).alias("share"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    totals = counts.groupBy("shard").agg(F.sum("n").alias("t")).select("shard", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("sofar"))
-    own = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.withColumn("given", F.coalesce(F.sum("n").over(own), F.lit(0))).join(by_source, "s").join(totals, "shard")
-    carried = cut(carried.select("shard", "s", "share", (F.col("share") * F.col("sofar") - F.col("given")).alias("owed")), "owed")
+    given = before(counts, ["s"], "n").withColumnRenamed("sofar", "given")
+    return given.join(by_source, "s").join(before(counts, [], "n"), "shard").select("shard", "s", "share", (F.col("share") * F.col("sofar") - F.col("given")).alias("owed"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 1024, window_sequences: int = 64, shard_tokens: int = 4_000_000, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
+    """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece (and ids, if asked for)."""
+    tokens = cut(tokenised(docs, tokenizer_path, key, text, source), "tokens")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    dealt = tokens.withColumn("shard", shard_of(max(1, -(-total // shard_tokens))))
 
     def run(group, state):
         shares, owed = (dict(zip(state.column("s").to_pylist(), state.column(c).to_pylist())) for c in ("share", "owed"))
@@ -166,7 +224,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         ks, ss, ns = (group.column(c).to_pylist() for c in ("k", "s", "n"))
         data, width = group.column("ids"), group.column("width")[0].as_py() if len(group) else 2
         queues: dict[str, deque] = {}
-        for i in sorted(range(len(ks)), key=lambda i: (ks[i] is None, ks[i], ns[i])):
+        order = group.column("i").to_pylist()
+        for i in sorted(range(len(ks)), key=lambda i: (ks[i] is None, ks[i] or 0, ns[i], order[i])):
             queues.setdefault(ss[i], deque()).append([i, 0, ns[i]])
         ends = bounds(sum(ns), capacity)
         shard, at, seq, first, opened, rows = group.column("shard")[0].as_py() if len(group) else 0, 0, 0, 0, (None, None), []
@@ -184,4 +243,5 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     schema = pa.schema([(n, pa.int64()) for n in (key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int64()))] * with_ids)
     kinds = f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids
-    return dealt.groupBy("shard").cogroup(carried.groupBy("shard")).applyInArrow(run, kinds)
+    owed = carried(dealt, total, targets).toDF("shard", "s", "share", "owed")  # columns of its own, apart from those of dealt
+    return dealt.groupBy("shard").cogroup(owed.groupBy("shard")).applyInArrow(run, kinds)
