@@ -7,16 +7,17 @@ and each point falls into one of the slots; a slot keeps the earliest arrival. T
 of the weighted Jaccard similarity. Only arrivals before a time at which all slots are filled with near certainty are
 made; where one stays empty, the time is doubled.
 
-Documents with equal texts are one node. Nodes that share a band meet in a bucket. Each bucket first compares all its
-members to one hub, so a group of many copies costs as many comparisons as it has members; the links found connect most
-of them. Then, of the members of a bucket that are not yet connected, those outside its largest connected part are
-compared to all of other parts, block by block, each pair in the first band it shares. So every pair of a bucket is
-compared or connected already. Comparisons are exact weighted Jaccard similarities; links at `similarity` or more
-connect nodes, and connected nodes form a class. No pairs are written but links, and no task gets a whole large bucket.
+Documents with equal texts are one node, made first: copies cost nothing after that, however many there are. Nodes that
+share a band meet in a bucket. Each bucket first compares all its members to one hub, so a group of near copies costs as
+many comparisons as it has members; the links found connect most of them. Then, of the members of a bucket that are not
+yet connected, those outside its largest connected part are compared to all of other parts, block by block, each pair in
+the first band it shares. So every pair of a bucket is compared or connected already. Comparisons are exact weighted
+Jaccard similarities; links at `similarity` or more connect nodes, and connected nodes form a class. No pairs are written
+but links, and no task gets a whole large bucket. Only the texts of nodes that share a band are read a second time.
 
 Null texts count as empty; texts without a word are alike only if equal; repeated rows fall into one class; rows with a
-null key get the class of their text, which is null only if all its keys are; an empty table gives an empty one; other
-columns are not read.
+null key get the class of their text, which is null only if all its keys are; long texts are taken whole, and blocks are
+bounded by their shingles; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, session_of, small_batches
+from .common import Cache, checked, cut, remove, session_of, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS, ROWS = 120, 5
 #: Members of a hub, or of a block of a bucket, that one task holds.
-HUB_ROWS = 512
+HUB_ROWS, HUB_SHINGLES = 512, 1_000_000
 _codes = Cache(lambda word: xxhash.xxh64_intdigest(word))
 
 
@@ -141,40 +142,42 @@ def _node(text: str):
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """k, node, bands of every row."""
+    """k, node, bands and m (number of different shingles) of every row."""
     small_batches(session_of(docs))
 
     def run(batches):
         for batch in batches:
-            texts, out = [t or "" for t in batch.column(2).to_pylist()], []
+            texts, out, sizes = [t or "" for t in batch.column(2).to_pylist()], [], []
             for at in range(0, len(texts), 128):
                 part = texts[at : at + 128]
-                found = signatures(*shingles_of(part), len(part))
+                place, elements, weights = shingles_of(part)
+                found = signatures(place, elements, weights, len(part))
+                sizes += np.bincount(place, minlength=len(part)).tolist()
                 out += [row if full else [] for row, full in zip(bands(found), np.isfinite(found[:, 0]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["k", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["k", "node", "bands", "m"])
 
-    return docs.select(F.col(key).cast("bigint").alias("k"), _node(text), F.col(text)).mapInArrow(run, "k bigint, node binary, bands array<bigint>")
+    return docs.select(F.col(key).cast("bigint").alias("k"), _node(text), F.col(text)).mapInArrow(run, "k bigint, node binary, bands array<bigint>, m bigint")
 
 
 def multisets(texts: DataFrame) -> DataFrame:
-    """node, h, w, bands: the shingles of each text in order and their numbers, as bytes. texts: node, text, bands."""
+    """id, h, w, bands: the shingles of each text in order and their numbers, as bytes. texts: id, text, bands."""
     small_batches(session_of(texts))
 
     def run(batches):
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in found], pa.binary()), batch.column(2)], ["node", "h", "w", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in found], pa.binary()), batch.column(2)], ["id", "h", "w", "bands"])
 
-    return texts.mapInArrow(run, "node binary, h binary, w binary, bands array<bigint>")
+    return texts.mapInArrow(run, "id bigint, h binary, w binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (node, hub) whose multisets are similar. sets: node, h, w, one row each."""
+    """The pairs (id, hub) whose multisets are similar. sets: id, h, w, one row each."""
     small_batches(session_of(pairs), 256)
     large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_ROWS).select(F.col("hub").alias("lh"), F.ceil(F.col("n") / HUB_ROWS).alias("parts"))
-    dealt = pairs.join(large, F.col("hub") == F.col("lh"), "left").select("node", "hub", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"))
-    members = dealt.join(sets, "node").select("hub", "part", F.col("node").alias("other"), "h", "w")
-    hubs = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("binary").alias("other"), "h", "w")
+    dealt = pairs.join(large, F.col("hub") == F.col("lh"), "left").select("id", "hub", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    members = dealt.join(sets, "id").select("hub", "part", F.col("id").alias("other"), "h", "w")
+    hubs = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", "part", F.lit(None).cast("bigint").alias("other"), "h", "w")
 
     def run(batches):
         hub = own = size = None
@@ -189,10 +192,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 elif min(size, n := found[1].sum()) >= similarity * max(size, n) and similarity_of(own, found) >= similarity:
                     rows[0].append(other)
                     rows[1].append(to)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in rows], ["node", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "hub"])
 
     together = hubs.union(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("other"))
-    return together.mapInArrow(run, "node binary, hub binary")
+    return together.mapInArrow(run, "id bigint, hub bigint")
 
 
 def overlaps(hub: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -207,104 +210,151 @@ def overlaps(hub: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray,
 def compared(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The similar pairs of each bucket between its members outside the largest part and all of another part.
 
-    open_: b, node, root, rest (outside the largest part), parts and blocks (of all members and of those outside). Both
-    sides are dealt in blocks of about HUB_ROWS, every block of one to every block of the other; a pair that shares
-    several bands is compared in the first."""
+    open_: b, id, root, rest (outside the largest part), parts and blocks (of all members and of those outside). Both
+    sides are dealt in blocks of about HUB_ROWS or HUB_SHINGLES, every block of one to every block of the other; a pair
+    that shares several bands is compared in the first."""
     small_batches(session_of(open_), 256)
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    hubs = open_.where("rest").withColumn("hb", block("blocks")).select("b", "hb", every("parts").alias("mb"), F.lit(0).alias("role"), "node", "root", "rest")
-    members = open_.withColumn("mb", block("parts")).select("b", every("blocks").alias("hb"), "mb", F.lit(1).alias("role"), "node", "root", "rest")
-    dealt = hubs.union(members).join(sets, "node").select("b", "hb", "mb", "role", "node", "root", "rest", "h", "w", "bands")
-    dealt = dealt.repartition("b", "hb", "mb").sortWithinPartitions("b", "hb", "mb", "role", "node")
+    hubs = open_.where("rest").withColumn("hb", block("blocks")).select("b", "hb", every("parts").alias("mb"), F.lit(0).alias("role"), "id", "root", "rest")
+    members = open_.withColumn("mb", block("parts")).select("b", every("blocks").alias("hb"), "mb", F.lit(1).alias("role"), "id", "root", "rest")
+    dealt = hubs.union(members).join(sets, "id").select("b", "hb", "mb", "role", "id", "root", "rest", "h", "w", "bands")
+    dealt = dealt.repartition("b", "hb", "mb").sortWithinPartitions("b", "hb", "mb", "role", "id")
 
     def run(batches):
-        unit, hubs, members = None, [], []
+        unit, hubs, members, held = None, [], [], 0
         joined: set = set()  # parts between which this unit has found a link; more would connect nothing new
         found: list[list] = [[], []]
 
         def meet():
             if members and hubs:
-                nodes, roots, rests, multis, sizes, bands = zip(*members)
-                roots, rests, sizes, bands = np.array(roots, object), np.array(rests), np.array(sizes), np.array(bands)
-                for node, root, _, multi, size, band in hubs:
+                ids, roots, rests, multis, sizes, bands = zip(*members)
+                ids, roots, rests, sizes, bands = (np.array(x) for x in (ids, roots, rests, sizes, bands))
+                for own, root, _, multi, size, band in hubs:
                     where = (bands == band).argmax(1)
                     may = (roots != root) & (bands[np.arange(len(bands)), where] == unit[0]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
-                    may &= ~rests | np.array([n > node for n in nodes])
+                    may &= ~rests | (ids > own)
                     if len(at := np.flatnonzero(may)):
-                        for i in at[overlaps(multi, [multis[i] for i in at]) >= similarity]:
+                        for i in at[overlaps(multi, [multis[i] for i in at]) >= similarity].tolist():
                             if (root, roots[i]) not in joined:
                                 joined.add((root, roots[i]))
-                                found[0].append(nodes[i])
-                                found[1].append(node)
+                                found[0].append(int(ids[i]))
+                                found[1].append(own)
             members.clear()
 
         for batch in batches:
-            for b, hb, mb, role, node, root, rest, h, w, band in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, hb, mb, role, own, root, rest, h, w, band in zip(*(c.to_pylist() for c in batch.columns)):
                 if unit != (b, hb, mb):
                     meet()
                     hubs.clear()
                     joined.clear()
-                    unit = b, hb, mb
+                    unit, held = (b, hb, mb), 0
                 weights = np.frombuffer(w, np.uint32).astype(np.int64)
-                row = node, root, rest, (np.frombuffer(h, np.uint64), weights), weights.sum(), np.array(band)
+                row = own, root, rest, (np.frombuffer(h, np.uint64), weights), weights.sum(), np.array(band)
                 (members if role else hubs).append(row)
-                if len(members) == 256:
+                held += role * len(weights)
+                if len(members) == 256 or held > HUB_SHINGLES:
                     meet()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["node", "hub"])
+                    held = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "hub"])
             found = [[], []]
         meet()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["node", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "hub"])
 
-    return dealt.mapInArrow(run, "node binary, hub binary")
+    return dealt.mapInArrow(run, "id bigint, hub bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of an edge (node, hub): the least node that it is connected to. Labels spread along edges and jump to their own labels until none changes."""
-    both = cut(edges.select("node", "hub").union(edges.select("hub", "node")), "edges")
-    roots = cut(both.groupBy("node").agg(F.min("hub").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+    """id, root for every node of an edge (id, hub): the least node that it is connected to. Labels spread along edges and jump to their own labels until none changes."""
+    n = 2 * edges.count()
+    both = cut(edges.select("id", "hub").union(edges.select("hub", "id")), "edges", n)
+    roots = cut(both.groupBy("id").agg(F.min("hub").alias("m")).select("id", F.least("id", "m").alias("root")), "roots", n)
     while True:
-        told = both.join(roots.select(F.col("node").alias("hub"), "root"), "hub").groupBy("node").agg(F.min("root").alias("m"))
-        near = roots.join(told, "node").select("node", "root", F.least("root", "m").alias("new"))
-        jumped = near.join(roots.select(F.col("node").alias("new"), F.col("root").alias("far")), "new").select("node", "root", F.least("new", "far").alias("new"))
-        done = cut(jumped, "roots")
-        changed = done.where(F.col("new") != F.col("root")).limit(1).count()
-        roots = done.select("node", F.col("new").alias("root"))
+        told = both.join(roots.select(F.col("id").alias("hub"), "root"), "hub").groupBy("id").agg(F.min("root").alias("m"))
+        near = roots.join(told, "id").select("id", "root", F.least("root", "m").alias("new"))
+        jumped = near.join(roots.select(F.col("id").alias("new"), F.col("root").alias("far")), "new").select("id", "root", F.least("new", "far").alias("new"))
+        done = cut(jumped, "roots", n)
+        remove(roots)
+        changed = not done.where(F.col("new") != F.col("root")).isEmpty()
+        roots = done.select("id", F.col("new").alias("root"))
+        roots._granary_path = done._granary_path
         if not changed:
+            remove(both)
             return roots
 
 
-def grouped(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """k, node (of the text) and root (of the class) of every row."""
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """id, node, k (the least), n (rows), bands and m of every different text."""
+    every = rows.groupBy("node").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("m").alias("m"))
+    return cut(every.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes", rows.count())  # numbers are given once, as it is written
+
+
+def grouped(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k and node of every row; the nodes; id and root (of the class) of every node that is linked to another."""
     rows = cut(signed(docs, key, text), "signatures")
-    bucketed = rows.select("node", F.explode("bands").alias("b")).distinct()
-    sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    nodes = nodes_of(rows)
+    bucketed = nodes.select("id", "m", F.explode("bands").alias("b"))
+    sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
     members = cut(bucketed.join(sizes.select("b", "hub"), "b"), "members")
-    needed = members.join(rows.select("node", "bands"), "node").groupBy("node").agg(F.first("bands").alias("bands"))
-    texts = docs.select(_node(text), F.coalesce(F.col(text), F.lit("")).alias("text")).join(needed, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands"))
-    sets = cut(multisets(texts), "multisets")
-    stars = cut(verified(members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct(), sets.select("node", "h", "w"), similarity), "links")
+    wanted = cut(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "node", "bands"), "wanted", members.count() // 2)
+    few = wanted.count()
+    own = docs.select(_node(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if checked(wanted, few) is wanted:
+        own = own.groupBy("node").agg(F.first("text").alias("text"))  # copies meet within each task before they are dealt
+    texts = own.join(checked(wanted.select("id", "node"), few), "node").groupBy("id").agg(F.first("text").alias("text")).join(wanted.select("id", "bands"), "id")
+    sets = cut(multisets(texts.select("id", "text", "bands")), "multisets")
+    stars = cut(verified(members.where(F.col("id") != F.col("hub")).select("id", "hub").distinct(), sets.select("id", "h", "w"), similarity), "links")
+    roots = components(stars)
     # What is still to be compared: of any two unconnected members of a bucket one is outside its largest part, and
     # the hub has been compared to all.
-    placed = members.join(components(stars), "node", "left").select("b", "node", "hub", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("roots > 1 and all > 2")
-    mixed = mixed.select("b", F.col("top.root").alias("top"), F.ceil(F.col("all") / HUB_ROWS).alias("parts"), F.ceil((F.col("all") - F.col("top.n")) / HUB_ROWS).alias("blocks"))
-    left = placed.where(F.col("node") != F.col("hub")).join(mixed, "b").select("b", "node", "root", (F.col("root") != F.col("top")).alias("rest"), "parts", "blocks")
-    links = cut(stars.union(compared(cut(left, "open"), sets, similarity)), "links")
-    return rows.select("k", "node").join(components(links), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "id", "left").select("b", "id", "m", "hub", F.coalesce("root", "id").alias("root"))
+    parts = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"))
+    mixed = parts.groupBy("b").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "m")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m")).where("roots > 1 and n > 2")
+    pieces = lambda n, m: F.greatest(F.ceil(n / HUB_ROWS), F.ceil(m / HUB_SHINGLES), F.lit(1))
+    mixed = mixed.select("b", F.col("top.root").alias("top"), pieces(F.col("n"), F.col("m")).alias("parts"), pieces(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("blocks"))
+    left = placed.where(F.col("id") != F.col("hub")).join(mixed, "b").select("b", "id", "root", (F.col("root") != F.col("top")).alias("rest"), "parts", "blocks")
+    left = cut(left, "open")
+    more = cut(compared(left, sets, similarity), "links")
+    remove(left, sets, wanted, members)
+    # The links found last connect classes found first.
+    first, second = (roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in ("id", "hub"))
+    between = more.join(first, "id", "left").join(second, "hub", "left").select(F.coalesce("id_root", "id").alias("id"), F.coalesce("hub_root", "hub").alias("hub")).where("id <> hub").distinct()
+    between = cut(between, "between", more.count())
+    if between.isEmpty():
+        return rows, nodes, roots
+    over = components(between).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    alone = over.join(roots.select("id"), F.col("root") == F.col("id"), "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))  # classes of one text until now
+    return rows, nodes, roots.join(over, "root", "left").select("id", F.coalesce("top", "root").alias("root")).union(alone)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """key and class_id, the least key of the class, of every row."""
-    named = grouped(docs, key, text, similarity)
-    least = named.groupBy("root").agg(F.min("k").alias("class_id"))
-    return named.join(least, "root").select(F.col("k").alias(key), "class_id")
+    rows, nodes, roots = grouped(docs, key, text, similarity)
+    linked = nodes.select("id", "k").join(roots, "id")
+    least = linked.groupBy("root").agg(F.min("k").alias("class_id"))
+    named = linked.join(least, "root").select("id", "class_id", F.lit(True).alias("linked"))
+    labels = nodes.select("id", "node", "k").join(named, "id", "left").select("node", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("k")).alias("class_id"))
+    return rows.select("k", "node").join(labels, "node").select(F.col("k").alias(key), "class_id")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """One row of each class, all columns unchanged: one of least key (null only if all are) and, of these, of least hash of the text."""
-    found = grouped(docs, key, text, similarity)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("missing"), "k", "node")).alias("top")).select(F.col("top.k").alias("_granary_key"), F.col("top.node").alias("_granary_node"))
-    kept = docs.withColumn("_granary_text", _node(text)).join(keep, F.col(key).cast("bigint").eqNullSafe(F.col("_granary_key")) & (F.col("_granary_text") == F.col("_granary_node")))
-    return kept.dropDuplicates(["_granary_text"]).select(docs.columns)
+    """One row of each class, all columns unchanged: one of least key (null only if all are), of these one of least hash
+    of the text, and of rows that repeat key and text any one, whatever its other columns hold."""
+    rows, nodes, roots = grouped(docs, key, text, similarity)
+    linked = nodes.select("id", "node", "k").join(roots, "id")
+    top = linked.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("missing"), "k", "node")).alias("top"))
+    losers = linked.join(top, "root").where(F.col("node") != F.col("top.node")).select("id", F.lit(True).alias("loser"))
+    # Rows of other nodes that are alone with their text stay; the rest is small, and told by key and text.
+    marked = nodes.select("id", "node", "k", "n").join(losers, "id", "left").where("loser or n > 1").select("node", F.col("k").alias("least"), F.coalesce("loser", F.lit(False)).alias("loser"))
+    marked = cut(marked, "marked", nodes.count() // 4)
+    keep = (~F.col("loser") & F.col("k").eqNullSafe(F.col("least"))).alias("keep")
+    told = rows.select("k", "node").join(checked(marked, marked.count()), "node").groupBy("k", "node", keep).agg(F.count(F.lit(1)).alias("n")).where("not keep or n > 1")
+    told = cut(told.select(F.col("k").alias("_granary_key"), F.col("node").alias("_granary_node"), "keep"), "told", rows.count() // 4)
+    own = docs.withColumn("_granary_text", _node(text))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_granary_key")) & (F.col("_granary_text") == F.col("_granary_node"))
+    rest = own.join(checked(told.drop("keep"), told.count()), same, "left_anti")
+    again = told.where("keep")
+    if again.isEmpty():
+        return rest.select(docs.columns)
+    once = own.join(checked(again.drop("keep"), told.count()), same, "left_semi").dropDuplicates(["_granary_text"])
+    return rest.union(once).select(docs.columns)
