@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import DATETIME, DICT, FLOAT, INTEGER, LIST, STRING, VECTOR
+from ..types import DATETIME, DICT, FLOAT, INTEGER, LIST, SPARK, STRING, VECTOR
+from .parser import parse
 
 LONG_MAX, LONG_MIN = 2**63 - 1, -(2**63)
 
@@ -113,6 +114,12 @@ def float_text(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit("NaN")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf")).otherwise(text)
 
 
+def parsed(c: Column, to: str) -> Column:
+    """Text as a vector, list or map by the parser of delimited text, in Arrow batches: [1;2] and {a: 1} are no JSON."""
+    made = dict if to == DICT else lambda x: x
+    return F.udf(lambda x: None if x is None or (found := parse(x, to)) is None else made(found), SPARK[to], useArrow=True)(c)
+
+
 def cast(c: Column, kind: str, to: str) -> Column:
     """c of one type as another; what does not fit is missing, floats saturate as integers."""
     if kind == to:
@@ -138,12 +145,10 @@ def cast(c: Column, kind: str, to: str) -> Column:
         return F.timestamp_seconds(c)
     if to == VECTOR and kind == LIST:
         return F.transform(c, lambda x: x.try_cast("double"))
-    if to == VECTOR and kind == STRING:
-        return F.from_json(c, "array<double>")
+    if to in (VECTOR, LIST, DICT) and kind == STRING:
+        return parsed(c, to)
     if to == LIST and kind == VECTOR:
         return c.cast("array<string>")
-    if to == DICT and kind == STRING:
-        return F.from_json(c, "map<string,string>")
     if to == DATETIME and kind == STRING:
         return c.try_cast("timestamp")
     return F.lit(None)

@@ -1,8 +1,12 @@
 """Delimited text with brackets, comments, escapes and types by elimination.
 
-Rows are cut in Arrow batches over text splits; a file is read whole only where quotes may span lines (multi_line). Types
-are tried on the first `infer_rows` rows in the order integer, float, vector, list, dict, string; a cell that does not
-fit its column is missing everywhere, or an error everywhere with strict=True.
+Files are read in splits, and quoted fields may hold line ends. A first pass finds for each split whether it ends inside a
+quoted field, if it begins outside or inside of one; from that the driver knows how each split begins, and the second pass
+cuts rows. The few rows that reach over the end of a split are put together afterwards and come last. The header is the
+first row of each file, told by its place.
+
+Types are tried on the first `infer_rows` rows (None: on all) in the order integer, float, vector, list, dict, string; a
+cell that does not fit its column is missing everywhere, or an error everywhere with strict=True; misfits() counts them.
 """
 
 from __future__ import annotations
@@ -12,17 +16,22 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parser import parse
 from ..operators.frame import Frame
 from ..types import DICT, FLOAT, INTEGER, LIST, SPARK, STRING, VECTOR, dtype
 
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "\\": "\\", '"': '"', "'": "'", "/": "/"}
 _CLOSE = {"[": "]", "{": "}"}
-_INT = re.compile(r"[+-]?\d+")
-_FLOAT = re.compile(r"[+-]?(?:(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+|inf|nan)", re.I)
+
+
+#: The types in the order in which they are tried.
+TYPES = (INTEGER, FLOAT, VECTOR, LIST, DICT, STRING)
 
 
 @dataclass
@@ -38,11 +47,11 @@ class Options:
     line_terminator: str = "\n"
     usecols: list[str] | None = None
     nrows: int | None = None
-    skiprows: int = 0
+    skiprows: int = 0  # rows at the start of each file
     types: dict[str, str] = field(default_factory=dict)
-    multi_line: bool = False
+    multi_line: bool = True  # quoted fields may hold line ends
     strict: bool = False
-    infer_rows: int = 100
+    infer_rows: int | None = 100
 
     def __post_init__(self):
         for name in ("quote", "escape", "comment"):
@@ -131,89 +140,168 @@ def split_row(line: str, o: Options) -> list[str] | None:
         i = stop + len(o.delimiter)
 
 
-def number(text: str):
-    if _INT.fullmatch(text):
-        return int(text)
-    return float(text) if _FLOAT.fullmatch(text) else None
-
-
-def parse(text: str, kind: str):
-    """The value of a cell; None where it does not fit."""
-    text = text if kind == STRING else text.strip()
-    if kind == STRING:
-        return text
-    if kind == INTEGER:
-        return int(text) if _INT.fullmatch(text) and abs(int(text)) < 2**63 else None
-    if kind == FLOAT:
-        found = number(text)
-        return None if found is None else float(found)
-    if kind == VECTOR and text[:1] == "[" and text[-1:] == "]":
-        inner = text[1:-1].strip()
-        parts = inner.split(",") if "," in inner else inner.split(";") if ";" in inner else inner.split()
-        found = [number(p.strip()) for p in parts]
-        return None if None in found else [float(x) for x in found]
-    if kind == LIST and text[:1] == "[" and text[-1:] == "]":
-        return [_plain(p) for p in _top(text[1:-1])]
-    if kind == DICT and text[:1] == "{" and text[-1:] == "}":
-        pairs = [(_plain(k), _plain(v)) for k, _, v in (_colon(p) for p in _top(text[1:-1]))]
-        return [(k, v) for k, v in dict(pairs).items() if k is not None]
-    return None
-
-
-def _top(text: str, mark: str = ",") -> list[str]:
-    """text cut at marks outside quotes and brackets."""
-    out, depth, quote, start = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        elif c == mark and not depth:
-            out.append(text[start:i])
-            start = i + 1
-    return [*out, text[start:]] if text.strip() else []
-
-
-def _colon(part: str) -> tuple[str, str, str]:
-    k, *v = _top(part, ":")
-    return k, ":", ":".join(v)
+def infer(cells: list[str], na: set[str]) -> str:
+    """The first type that all present cells fit; integer if there is none."""
+    found = fits(cells, na)
+    return next(k for k in TYPES if found[k])
 
 
-def _plain(part: str) -> str | None:
-    part = part.strip()
-    if len(part) > 1 and part[0] == part[-1] and part[0] in "\"'":
-        return part[1:-1]
-    return part or None
+def fits(cells: list[str], na: set[str]) -> dict[str, bool]:
+    """For each type whether all present cells fit it."""
+    present = {c for c in cells if c != "" and c not in na}
+    return {k: all(parse(c, k) is not None for c in present) for k in TYPES}
 
 
-def infer(cells: list[str], na: set[str]) -> str:
-    """The first type that all present cells fit; integer if there is none."""
-    present = [c for c in cells if c != "" and c not in na]
-    return next(k for k in (INTEGER, FLOAT, VECTOR, LIST, DICT, STRING) if all(parse(c, k) is not None for c in present))
+def open_after(line: str, inside: bool, o: Options) -> bool:
+    """Whether a line ends inside a quoted field that the next line continues."""
+    stop = re.compile(f"{re.escape(o.delimiter)}|{re.escape(o.comment)}" if o.comment else re.escape(o.delimiter))
+    marks = re.compile(f"[{re.escape(o.quote + o.escape)}]")
+    blank, i, n = o.delimiter.strip() == "", 0, len(line)
+    while True:
+        while not inside and o.skip_initial_space and i < n and line[i] in " \t" and not (blank and line.startswith(o.delimiter, i)):
+            i += 1
+        if not inside and i < n and line[i] == o.quote:
+            inside, i = True, i + 1
+        elif not inside and i < n and line[i] in _CLOSE:
+            i = max(i, _bracket_end(line, i))
+        while inside:
+            found = marks.search(line, i)
+            if not found:
+                return True
+            i = found.start()
+            if line[i] == o.escape and i + 1 < n or o.double_quote and line[i : i + 2] == o.quote * 2:
+                i += 2
+            else:
+                inside, i = line[i] != o.quote, i + 1
+        found = stop.search(line, i)
+        if not found or found[0] == o.comment:
+            return False
+        i = found.end()
+
+
+class _Lines:
+    """Lines of a source with the split that they are of: f (a number of the file), b (where the split begins) and the text."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str], o: Options):
+        self.o = o
+        self.df = spark.read.text(path, lineSep=o.line_terminator) if o.line_terminator else spark.read.text(path, wholetext=True)
+        self.tagged = self.df.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value")
+        self.quoted = bool(o.quote and o.multi_line and o.line_terminator)
+
+    @staticmethod
+    def pieces(batches):
+        """Split and lines, again and again; those of one split come one after the other."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, starts = (batch.column(i).to_numpy() for i in (0, 1))
+            ends = [*(np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), batch.num_rows]
+            for at, end in zip([0, *ends], ends):
+                yield (int(files[at]), int(starts[at])), batch.column(2).slice(at, end - at)
+
+    def begins(self) -> tuple[dict[tuple[int, int], tuple[bool, int]], bool]:
+        """For each split whether it begins inside a quoted field and the split where that row begins; whether any does."""
+        if not self.quoted:
+            return {}, False
+        o, pieces = self.o, self.pieces
+
+        def run(batches):
+            found: dict = {}  # of each split: how it ends if it begins outside, or inside, and whether a row begins in it in the latter case
+            for split, lines in pieces(batches):
+                ends = found.setdefault(split, [False, True, False])
+                odd = pc.match_substring(lines, o.quote)
+                for line in lines.filter(odd).to_pylist():
+                    ends[:2] = open_after(line, ends[0], o), open_after(line, ends[1], o)
+                    ends[2] |= not ends[1]
+            splits, ends = list(found), list(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([f for f, _ in splits], [b for _, b in splits], *([e[i] for e in ends] for i in range(3)))], ["f", "b", "outside", "inside", "closes"]) if found else pa.RecordBatch.from_pylist([], schema)
+
+        schema = pa.schema([("f", pa.int64()), ("b", pa.int64()), ("outside", pa.bool_()), ("inside", pa.bool_()), ("closes", pa.bool_())])
+        out: dict = {}
+        last, inside, row = None, False, 0
+        for r in sorted(self.tagged.mapInArrow(run, "f bigint, b bigint, outside boolean, inside boolean, closes boolean").collect()):  # one row a split
+            if r["f"] != last:
+                last, inside, row = r["f"], False, r["b"]
+            out[r["f"], r["b"]] = inside, row
+            row = row if inside and not r["closes"] else r["b"]
+            inside = r["inside"] if inside else r["outside"]
+        return out, any(inside for inside, _ in out.values())
+
+    def rows(self, begins: dict | None, use, schema: str, header: bool) -> DataFrame:
+        """What use(rows) makes of batches of rows (lists of cells), and parts of rows that reach over splits: f, b (of the split where the row begins), n (of the split) and part. Without begins only the splits that begin a file are read."""
+        o, pieces, quoted = self.o, self.pieces, self.quoted
+
+        def run(batches):
+            split, inside, held, skip, row, fresh = None, False, [], 0, 0, True
+            parts: list[tuple] = []
+
+            def ended():
+                if held:  # the split ends inside a row
+                    parts.append((*((split[0], row) if not fresh else (split[0], split[1])), split[1], o.line_terminator.join(held)))
+                    held.clear()
+
+            for which, lines in pieces(batches):
+                if begins is None and which[1]:
+                    continue
+                if which != split:
+                    ended()
+                    split = which
+                    inside, row = begins.get(split, (False, 0)) if begins else (False, 0)
+                    fresh, skip, first = not inside, o.skiprows if not split[1] else 0, header and not split[1]
+                got = []
+                for line in lines.to_pylist():
+                    line = line if o.line_terminator != "\n" else line.rstrip("\r")
+                    if quoted and (inside or o.quote in line):
+                        held.append(line)
+                        if o.quote in line:
+                            inside = open_after(line, inside, o)
+                        if inside:
+                            continue
+                        line = o.line_terminator.join(held)
+                        held.clear()
+                        if not fresh:  # the end of a row that began in another split
+                            parts.append((split[0], row, split[1], line))
+                            fresh = True
+                            continue
+                    if skip:
+                        skip -= 1
+                    elif (cells := split_row(line, o)) is not None:
+                        if first:
+                            first = False
+                        else:
+                            got.append(cells)
+                yield from use(got, ())
+            ended()
+            yield from use([], parts)
+
+        return self.tagged.mapInArrow(run, f"{schema}, _f bigint, _b bigint, _n bigint, _part string")
+
+
+def read(spark: SparkSession, path: str | list[str], **options) -> Frame:
+    o = Options(**options)
+    lines, na = _Lines(spark, path, o), set(o.na_values)
+    first = sorted(lines.df.inputFiles())[:1]
 
+    def raw(rows, parts):
+        made = [(r, None, None, None, None) for r in rows] + [(None, *p) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["cells", "_f", "_b", "_n", "_part"])
 
-def read(spark: SparkSession, path: str, **options) -> Frame:
-    o = Options(**options)
-    o.multi_line |= o.skiprows > 0  # rows to skip are told from others only in a whole file
-    if o.multi_line:
-        lines = spark.read.text(path, wholetext=True)
-    else:
-        lines = spark.read.text(path, lineSep=o.line_terminator) if o.line_terminator else spark.read.text(path, wholetext=True)
-    ahead = lines.limit(o.skiprows + o.infer_rows + 100 if not o.multi_line else 1).collect()  # a bounded number of rows
-    rows = [r for line in ahead for r in _rows(line["value"], o)]
+    if not first:
+        return Frame(spark.createDataFrame([], "X1 bigint"))
+    begins, over = lines.begins()
+    ahead = _Lines(spark, first, o).rows(None, raw, "cells array<string>", False).where("cells is not null")
+    rows = [r["cells"] for r in ahead.limit((o.infer_rows or 100) + 1).collect()]  # a bounded number of rows
     if not rows:
         return Frame(spark.createDataFrame([], "X1 bigint"))
     width = max(map(len, rows))
     names = rows[0] if o.header else [f"X{i + 1}" for i in range(width)]
-    sample = rows[1 : o.infer_rows + 1] if o.header else rows[: o.infer_rows]
-    na = set(o.na_values)
-    kinds = [dtype(o.types[n]) if n in o.types else infer([r[i] for r in sample if i < len(r)], na) for i, n in enumerate(names)]
-    schema = ", ".join(f"`{n}` {SPARK[k].simpleString()}" for n, k in zip(names, kinds))
-    header, strict = rows[0] if o.header else None, o.strict
+    sample = rows[1:] if o.header else rows[: o.infer_rows or 100]
+    if o.infer_rows is None:
+        kinds = _over_all(lines, begins, names, na)
+    else:
+        kinds = [infer([r[i] for r in sample if i < len(r)], na) for i in range(len(names))]
+    kinds = [dtype(o.types[n]) if n in o.types else k for n, k in zip(names, kinds)]
+    schema, strict = ", ".join(f"`{n}` {SPARK[k].simpleString()}" for n, k in zip(names, kinds)), o.strict
 
     def cell(row, i, kind):
         text = row[i] if i < len(row) else ""
@@ -225,35 +313,57 @@ def read(spark: SparkSession, path: str, **options) -> Frame:
         return found
 
     arrow = {INTEGER: pa.int64(), FLOAT: pa.float64(), STRING: pa.string(), VECTOR: pa.list_(pa.float64()), LIST: pa.list_(pa.string()), DICT: pa.map_(pa.string(), pa.string())}
+    ends = ["_f", "_b", "_n", "_part"]
 
-    def run(batches):
-        for batch in batches:
-            got = [r for text in batch.column(0).to_pylist() for r in _rows(text, o) if r != header]
-            columns = [pa.array([cell(r, i, k) for r in got], arrow[k]) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def typed(rows, parts):
+        columns = [pa.array([cell(r, i, k) for r in rows] + [None] * len(parts), arrow[k]) for i, k in enumerate(kinds)]
+        tail = [pa.array([None] * len(rows) + [p[i] for p in parts], pa.string() if i == 3 else pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays(columns + tail, names + ends)
+
+    found = lines.rows(begins, typed, schema, o.header)
+    df = found.where("_part is null").drop(*ends)
+    if over:
+        whole = found.where("_part is not null").groupBy("_f", "_b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), o.line_terminator).alias("line"))  # one row that reaches over splits
+
+        def late(batches):
+            for batch in batches:
+                rows = [r for text in batch.column(0).to_pylist() if (r := split_row(text, o)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([cell(r, i, k) for r in rows], arrow[k]) for i, k in enumerate(kinds)], names)
 
-    df = lines.mapInArrow(run, schema)
+        df = df.unionAll(whole.select("line").mapInArrow(late, schema))
     df = df.limit(o.nrows) if o.nrows is not None else df
     return Frame(df.select(*[f"`{c}`" for c in o.usecols]) if o.usecols else df)
 
 
-def _rows(text: str, o: Options):
-    """Rows of a line, or of a whole file, in which quoted fields may hold line ends."""
-    if not o.multi_line:
-        pieces = [text.rstrip("\r")]
-    else:
-        pieces, held = [], ""
-        for line in text.split(o.line_terminator) if o.line_terminator else [text]:
-            held = f"{held}{o.line_terminator}{line}" if held else line
-            plain = re.sub(re.escape(o.escape) + ".", "", held, flags=re.S) if o.escape else held
-            if not o.quote or plain.count(o.quote) % 2 == 0:
-                pieces.append(held)
-                held = ""
-        pieces += [held] if held else []
-        pieces = pieces[o.skiprows :]
-    for piece in pieces:
-        if (row := split_row(piece, o)) is not None:
-            yield row
+def _over_all(lines: _Lines, begins: dict, names: list[str], na: set[str]) -> list[str]:
+    """The type of each column by all rows: each task tells which types its cells fit."""
+    o = lines.o
+
+    def told(rows, parts):
+        rows = [*rows, *[r for p in parts if (r := split_row(p[3], o)) is not None and len(r) == len(names)]]
+        fit = [list(fits([r[i] for r in rows if i < len(r)], na).values()) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([pa.array([fit], pa.list_(pa.list_(pa.bool_()))), *[pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]], ["fit", "_f", "_b", "_n", "_part"])
+
+    found = lines.rows(begins, told, "fit array<array<boolean>>", o.header).select(F.posexplode("fit").alias("i", "fit"))
+    all_ = found.groupBy("i").agg(*[F.bool_and(F.col("fit")[j]).alias(k) for j, k in enumerate(TYPES)])
+    by = {r["i"]: next(k for k in TYPES if r[k]) for r in all_.collect()}  # one row a column
+    return [by.get(i, INTEGER) for i in range(len(names))]
+
+
+def misfits(spark: SparkSession, path: str, **options) -> dict[str, int]:
+    """For each column that read() would make, how many cells do not fit its type."""
+    asked = read(spark, path, **options)
+    texts = read(spark, path, **options | {"types": dict.fromkeys(asked.column_names, STRING), "strict": False, "usecols": None})
+    kinds, na = asked.dtypes, set(options.get("na_values", ()))
+
+    def run(batches):
+        for batch in batches:
+            counts = [sum(c is not None and c != "" and c not in na and parse(c, kinds[n]) is None for c in batch.column(n).to_pylist()) for n in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array([counts], pa.list_(pa.int64()))], ["n"])
+
+    found = texts.df.select(*[f"`{n}`" for n in kinds]).mapInArrow(run, "n array<bigint>").select(F.posexplode("n").alias("i", "n"))
+    by = {r["i"]: r["n"] for r in found.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # one row a column
+    return {n: by.get(i, 0) for i, n in enumerate(kinds)}
 
 
 def _text(value, kind: str) -> str:
@@ -263,7 +373,7 @@ def _text(value, kind: str) -> str:
 
 
 def write(frame: Frame, path: str, delimiter: str = ",", quote: str = '"', escape: str = "\\", line_terminator: str = "\n", na_rep: str = "", header: bool = True, quoting: str = "minimal", single_file: bool = True) -> None:
-    """Text lines built from expressions; quoting is minimal, all, nonnumeric or none."""
+    """Text lines built from expressions; quoting is minimal, all, nonnumeric or none. single_file writes in one task; at scale set it to False, and each file has the header."""
     if quoting not in ("minimal", "all", "nonnumeric", "none"):
         raise ValueError(quoting)
 
@@ -284,10 +394,11 @@ def write(frame: Frame, path: str, delimiter: str = ",", quote: str = '"', escap
 
     spark, df = frame.df.sparkSession, frame.df
     lines = df.select(F.concat_ws(delimiter, *[cell(n, k) for n, k in frame.dtypes.items()]).alias("value"))
+    title = delimiter.join([f"{quote}{n}{quote}" if quoting == "all" else n for n in frame.column_names])
     if single_file:
         lines = lines.coalesce(1)
-    if header:
-        names = [f"{quote}{n}{quote}" if quoting == "all" else n for n in frame.column_names]
-        lines = spark.createDataFrame([(delimiter.join(names),)], "value string").coalesce(1).unionAll(lines)
-        lines = lines.coalesce(1) if single_file else lines
+        lines = spark.createDataFrame([(title,)], "value string").coalesce(1).unionAll(lines).coalesce(1) if header else lines
+    elif header:  # on the first row of each file, as readers drop the first row of each
+        begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines = lines.select(F.when(begins, F.concat(F.lit(title + line_terminator), "value")).otherwise(F.col("value")).alias("value"))
     lines.write.mode("overwrite").option("lineSep", line_terminator).text(path)

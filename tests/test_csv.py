@@ -1,5 +1,7 @@
 """Lexical rules and type inference of delimited text."""
 
+import pytest
+
 from granary.sources import csv
 
 
@@ -22,3 +24,60 @@ def test_read(spark, tmp_path):
     got = csv.read(spark, str(tmp_path / "t.csv"), skiprows=1, na_values=["NA"])
     assert got.dtypes == {"id": "integer", "v": "vector", "s": "string"}
     assert got.to_list() == [{"id": 1, "v": [1.0, 2.0], "s": "a\nb"}, {"id": 2, "v": None, "s": None}]
+
+
+def _rows(spark, tmp_path, text, **options):
+    (tmp_path / "t.csv").write_text(text)
+    return csv.read(spark, str(tmp_path / "t.csv"), **options).to_list()
+
+
+def test_quotes_over_lines_are_the_default(spark, tmp_path):
+    assert _rows(spark, tmp_path, 'a,b\n1,"x\ny"\n2,z\n') == [{"a": 1, "b": "x\ny"}, {"a": 2, "b": "z"}]
+    assert _rows(spark, tmp_path, 'a,b\n# 5" pipe\n1,6" pipe\n2,z # don"t\n') == [{"a": 1, "b": '6" pipe'}, {"a": 2, "b": "z"}]
+    assert _rows(spark, tmp_path, 'a,b\n1,"x\ny"\n', multi_line=False) == [{"a": "1", "b": "x"}, {"a": 'y"', "b": ""}]
+
+
+def test_a_row_equal_to_the_header_stays(spark, tmp_path):
+    assert _rows(spark, tmp_path, "a,b\n1,2\na,b\n3,4\n", types={"a": "string", "b": "string"}) == [{"a": "1", "b": "2"}, {"a": "a", "b": "b"}, {"a": "3", "b": "4"}]
+
+
+def test_leading_comments_and_blanks_however_many(spark, tmp_path):
+    assert _rows(spark, tmp_path, "# note\n\n" * 400 + "a,b\n" + "# note\n" * 300 + "1,2\n") == [{"a": 1, "b": 2}]
+    assert csv.read(spark, str(tmp_path / "t.csv"), infer_rows=None).dtypes == {"a": "integer", "b": "integer"}
+
+
+def test_types_by_all_rows_and_misfits(spark, tmp_path):
+    text = "a,b\n" + "1,2\n" * 150 + "late,oops\n3,4\n"
+    assert _rows(spark, tmp_path, text)[150] == {"a": None, "b": None}
+    assert csv.misfits(spark, str(tmp_path / "t.csv")) == {"a": 1, "b": 1}
+    assert _rows(spark, tmp_path, text, infer_rows=None)[150] == {"a": "late", "b": "oops"}
+
+
+@pytest.mark.parametrize("split", [64, 200, 1000])
+def test_rows_over_splits(spark, tmp_path, split):
+    rows = [(i, ("line\n" * (i % 5) + f'say ""{i}""' + ("\n" * 120 if i == 20 else "")) if i % 3 else "plain") for i in range(60)]
+    text = "id,t\n" + "".join(f'{i},"{t}"\n' if "\n" in t or '"' in t else f"{i},{t}\n" for i, t in rows) + "# the \"end\n"
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = _rows(spark, tmp_path, text)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["t"]) for r in got) == [(i, t.replace('""', '"')) for i, t in rows]
+
+
+def test_several_files_with_headers(spark, tmp_path):
+    frame = csv.read(spark, str(_written(tmp_path, "in.csv", "a,b\n" + "".join(f"{i},x{i}\n" for i in range(50)))))
+    from granary.operators.frame import Frame
+
+    many = Frame(frame.df.repartition(4))
+    many.to_csv(str(tmp_path / "out"), single_file=False)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 4
+    assert sorted(r["a"] for r in csv.read(spark, str(tmp_path / "out")).to_list()) == list(range(50))
+
+
+def _written(folder, name, text):
+    (folder / name).write_text(text)
+    return folder / name
