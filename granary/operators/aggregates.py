@@ -58,26 +58,33 @@ STD = STDV = _agg("std", F.stddev_samp)
 STD_POP = _agg("std_pop", F.stddev_pop)
 COUNT_DISTINCT = _agg("count_distinct", F.count_distinct)
 CONCAT = ZIP_LIST = _agg("concat", _listed, ordered=True)
-SELECT_ONE = _agg("select_one", lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(ORD))), ordered=True)
+SELECT_ONE = _agg("select_one", lambda c: F.any_value(c, F.lit(True)))
 COUNT_NA = _agg("count_na", lambda c: F.count_if(c.isNull()))
 NNZ = _agg("nnz", lambda c: F.count_if(_nonzero(c)))
 ANY = _agg("any", lambda c: F.coalesce(F.bool_or(_nonzero(c)), F.lit(False)).cast("long"))
 ALL = _agg("all", lambda c: F.coalesce(F.bool_and(_nonzero(c)), F.lit(True)).cast("long"))
 APPROX_COUNT_DISTINCT = _agg("approx_count_distinct", lambda c: F.approx_count_distinct(c, 0.016))
-# These three group on two levels, see reshape.two_level.
+# These group on two levels, see reshape.two_level.
 FREQ_COUNT = _agg("frequency_count", F.count)
 VECTOR_SUM = _agg("vector_sum", F.sum)
 VECTOR_AVG = _agg("vector_avg", F.avg)
 
 
 def QUANTILE(column: str, q: float) -> Agg:
-    """Exact nearest rank, as a float: the value at round((n - 1) q) of the sorted values, halves up. A group's values meet in one task; approximate quantiles do not."""
+    """Exact nearest rank, as a float: the value at round((n - 1) q) of the sorted values, halves up. Found from counts by value, see reshape.two_level."""
+    if not 0 <= q <= 1:
+        raise ValueError("q must be between 0 and 1")
+    return Agg("quantile", column, lambda c: F.lit(q))
 
-    def build(c: Column) -> Column:
-        values = F.sort_array(F.collect_list(c.cast("double")))
-        return F.when(F.count(c) > 0, F.element_at(values, F.floor((F.count(c) - 1) * F.lit(q) + 0.5).cast("int") + 1))
 
-    return Agg("quantile", column, build)
+@dataclass(frozen=True)
+class Reducer:
+    """A user's aggregate: start() gives a state, add(state, value) and merge(state, state) new ones, finish(state) the result. States are pickled between tasks."""
+
+    start: Callable[[], object]
+    add: Callable[[object, object], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], object] = lambda state: state
 
 
 def MEDIAN(column: str) -> Agg:
@@ -95,4 +102,4 @@ def FREQUENT_ITEMS(column: str, k: int = 10) -> Agg:
 
 
 #: Aggregates that need another level of grouping first.
-TWO_LEVEL = {"frequency_count", "vector_sum", "vector_avg"}
+TWO_LEVEL = {"frequency_count", "vector_sum", "vector_avg", "quantile"}

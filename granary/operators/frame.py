@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import date, datetime
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as text_
 from ..functions import values
-from ..types import DICT, FLOAT, INTEGER, LIST, SPARK, STRING, VECTOR, dtype, normalise, value_type
+from ..types import DATETIME, DICT, FLOAT, INTEGER, LIST, SPARK, STRING, VECTOR, dtype, normalise, value_type
 from . import reshape
-from .aggregates import TWO_LEVEL, Agg
+from .aggregates import FREQUENT_ITEMS, QUANTILE, TWO_LEVEL, Agg, Reducer
 from .order import ORD, ordering, with_ordinal
 
 
@@ -34,16 +39,31 @@ class Frame:
         return cls(normalise(df))
 
     @classmethod
-    def from_rows(cls, spark: SparkSession, data: dict | list, schema: str | None = None) -> Frame:
-        """From a dict of columns (of equal length) or a list of dicts (keys missing somewhere become missing values)."""
+    def from_rows(cls, spark: SparkSession, data: dict | list | None, schema: str | None = None) -> Frame:
+        """From a dict of columns (of equal length), a list of dicts (keys missing somewhere become missing values), a pandas table, or nothing at all."""
+        if data is None or isinstance(data, (dict, list)) and not data:
+            return cls.of(spark.createDataFrame([], schema or T.StructType()))
+        if hasattr(data, "iloc"):
+            return cls.of(spark.createDataFrame(data, schema))
         if isinstance(data, dict):
+            if any(isinstance(v, Series) for v in data.values()):
+                return cls.from_columns(data)
             if len({len(v) for v in data.values()}) > 1:
                 raise ValueError("columns differ in length")
             names, rows = list(data), list(zip(*data.values()))
         else:
             names = list(dict.fromkeys(k for row in data for k in row))
             rows = [tuple(row.get(n) for n in names) for row in data]
-        return cls.of(spark.createDataFrame(rows, schema or names))
+        if schema is None:
+            schema = T.StructType([T.StructField(n, SPARK[kind_of(r[i] for r in rows)]) for i, n in enumerate(names)])
+            rows = [tuple(None if x is None else MADE.get(value_type(f.dataType), lambda x: x)(x) for x, f in zip(r, schema)) for r in rows]
+        return cls.of(spark.createDataFrame(rows, schema))
+
+    @classmethod
+    def from_columns(cls, columns: dict[str, Series]) -> Frame:
+        """From columns of equal length, of one table or of several."""
+        (name, first), *rest = columns.items()
+        return reduce(lambda f, c: f.add_column(*c), rest, first.to_frame(name)) if any(not c.frame._is(first.frame) for _, c in rest) else Frame(first.frame._df.select(*[c.expr.alias(n) for n, c in columns.items()], *[ORD] * (ORD in first.frame._df.columns)))
 
     @classmethod
     def range(cls, spark: SparkSession, start: int, count: int, step: int = 1, name: str = "id") -> Frame:
@@ -56,6 +76,10 @@ class Frame:
     def _new(self, df: DataFrame) -> Frame:
         return Frame(df)
 
+    def _is(self, other: Frame) -> bool:
+        """Whether expressions over the other hold for this one."""
+        return self._df is other._df
+
     # Schema and access
 
     @property
@@ -74,6 +98,20 @@ class Frame:
     def num_columns(self) -> int:
         return len(self.column_names)
 
+    num_cols = num_columns
+
+    @property
+    def column_types(self) -> list[str]:
+        return list(self.dtypes.values())
+
+    @property
+    def schema(self) -> list[tuple[str, str]]:
+        return list(self.dtypes.items())
+
+    @property
+    def size(self) -> int:
+        return self.num_rows()
+
     def num_rows(self) -> int:
         return self._df.count()
 
@@ -114,7 +152,14 @@ class Frame:
 
     def column(self, name: str) -> Series:
         self._check(name)
-        return Series(self, _q(name), self.dtypes[name], name)
+        return Series(self.copy(), _q(name), self.dtypes[name], name)  # a copy: columns stay as they are when this table is assigned to
+
+    def __setitem__(self, name: str, col: Series | Column | object) -> None:
+        """This table from now on, with the column set; a plain value fills it. Columns and tables taken before keep theirs."""
+        self._df = self.set_column(name, col if isinstance(col, (Series, Column)) else F.lit(col).cast(SPARK[kind_of([col])]))._df
+
+    def __delitem__(self, name: str) -> None:
+        self._df = self.remove_columns(name)._df
 
     def select(self, names: list[str]) -> Frame:
         self._check(*names)
@@ -123,6 +168,9 @@ class Frame:
     def with_metadata(self, **pairs: str) -> Frame:
         return Frame(self._df, self.metadata | pairs)
 
+    def without_metadata(self, *names: str) -> Frame:
+        return Frame(self._df, {k: v for k, v in self.metadata.items() if k not in names})
+
     def copy(self) -> Frame:
         return Frame(self._df, self.metadata)
 
@@ -136,7 +184,7 @@ class Frame:
     def _with(self, name: str, col: Series | Column) -> DataFrame:
         if isinstance(col, Column):
             return self._df.withColumn(name, col)
-        if col.frame is self:
+        if col.frame._is(self):
             return self._df.withColumn(name, col.expr)
         left, right = with_ordinal(self._df), with_ordinal(col.to_frame(ORD + "_value")._df)
         if left.count() != right.count():
@@ -150,7 +198,7 @@ class Frame:
         return self._new(self._with(name, col))
 
     def add_columns(self, cols: dict[str, Series | Column]) -> Frame:
-        return reduce(lambda f, c: f.add_column(c, cols[c] if isinstance(cols[c], Column) or cols[c].frame is not self else Series(f, cols[c].expr, cols[c].kind, c)), cols, self)
+        return reduce(lambda f, c: f.add_column(c, cols[c] if isinstance(cols[c], Column) or not cols[c].frame._is(self) else Series(f, cols[c].expr, cols[c].kind, c)), cols, self)
 
     def replace_column(self, name: str, col: Series | Column) -> Frame:
         self._check(name)
@@ -187,7 +235,7 @@ class Frame:
         return self._new(self._df.where(condition))
 
     def mask(self, mask: Series) -> Frame:
-        if mask.frame is self:
+        if mask.frame._is(self):
             return self._new(self._df.where(values.truth(mask.expr, mask.kind)))
         name = ORD + "_mask"
         zipped = self.add_column(name, mask)
@@ -234,16 +282,68 @@ class Frame:
         df = with_ordinal(self._df) if any(a.ordered for a in aggs.values()) else self._df
         plain = {n: a for n, a in aggs.items() if a.name not in TWO_LEVEL}
         cols = list(map(_q, keys))
-        out = df.groupBy(*cols).agg(*[a.expression().alias(n) for n, a in plain.items()]) if plain else df.select(*cols).distinct()
+        if plain:
+            out = df.groupBy(*cols).agg(*[a.expression().alias(n) for n, a in plain.items()])
+        else:
+            out = df.select(*cols).distinct() if keys else df.sparkSession.range(1).select()
         for name, agg in aggs.items():
             if agg.name in TWO_LEVEL:
                 right = reshape.two_level(df, keys, agg, name).toDF(*[f"_r_{k}" for k in keys], name)
                 match = reduce(lambda a, b: a & b, [_q(k).eqNullSafe(_q(f"_r_{k}")) for k in keys], F.lit(True))
+                right = right if keys else F.broadcast(right)  # one row
                 out = out.join(right, match, "left").drop(*[f"_r_{k}" for k in keys])
         return self._new(out.select(*cols, *map(_q, aggs)))
 
     def aggregate(self, aggs: dict[str, Agg]) -> Frame:
-        return self._new(with_ordinal(self._df).agg(*[a.expression().alias(n) for n, a in aggs.items()]))
+        """One row of aggregates; no table is scanned in order unless one of them is ordered."""
+        return self.groupby([], aggs)
+
+    def reduce_with(self, column: str, reducer: Reducer):
+        """The result of a user's aggregate: each task reduces its values to one state, the states of all tasks are merged by tens."""
+        self._check(column)
+
+        def states(batches):
+            state = reducer.start()
+            for batch in batches:
+                for value in batch.column(0).to_pylist():
+                    state = reducer.add(state, value)
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(state)], pa.binary())], ["state"])
+
+        def merged(batches):
+            state = None
+            for batch in batches:
+                for x in map(cloudpickle.loads, batch.column(0).to_pylist()):
+                    state = x if state is None else reducer.merge(state, x)
+            if state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(state)], pa.binary())], ["state"])
+
+        made = self._df.select(_q(column)).mapInArrow(states, "state binary")
+        tasks = self._df.rdd.getNumPartitions()
+        while tasks > 10:
+            tasks = -(-tasks // 10)
+            made = made.repartition(tasks).mapInArrow(merged, "state binary")
+        found = [cloudpickle.loads(r["state"]) for r in made.collect()]  # at most ten
+        return reducer.finish(reduce(reducer.merge, found) if found else reducer.start())
+
+    def apply_rows(self, f: Callable, columns: dict[str, object]) -> Frame:
+        """The columns that f makes of each row (a dict), in Arrow batches; f gives a sequence, in the order of columns. What it fails on is missing."""
+        kinds = {c: dtype(t) for c, t in columns.items()}
+        names = self.column_names
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    try:
+                        made = tuple(f(row))
+                    except Exception:
+                        made = ()
+                    out.append([MADE.get(k, lambda x: x)(x) if x is not None else None for k, x in zip(kinds.values(), made)] if len(made) == len(kinds) else [None] * len(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(arrow)], list(kinds))
+
+        schema = T.StructType([T.StructField(c, SPARK[k]) for c, k in kinds.items()])
+        arrow = [to_arrow_type(x.dataType) for x in schema]
+        return self._new(self._df.select(*map(_q, names)).mapInArrow(run, schema))
 
     def unique(self) -> Frame:
         return self._new(self.df.groupBy(*map(_q, self.column_names)).agg(F.lit(1).alias(ORD)).drop(ORD))
@@ -287,10 +387,12 @@ class Frame:
             df = with_ordinal(self._df)
         return self._new(df.select((F.col(ORD) + start).alias(name), *map(_q, self.column_names), ORD))
 
-    def append(self, other: Frame) -> Frame:
-        if self.column_names != other.column_names or self.dtypes != other.dtypes:
-            raise ValueError("tables differ in names or types")
-        return self._new(self.df.unionAll(other.df))
+    def append(self, *others: Frame) -> Frame:
+        """The rows of this table, then those of the others, which need the same names and types."""
+        for other in others:
+            if self.column_names != other.column_names or self.dtypes != other.dtypes:
+                raise ValueError("tables differ in names or types")
+        return self._new(reduce(DataFrame.unionAll, [other.df for other in others], self.df))
 
     def _chosen(self, fraction: float, seed: int, key: list[str] | None) -> tuple[DataFrame, Column]:
         df = self._df if key else with_ordinal(self._df)
@@ -370,6 +472,12 @@ class Frame:
     def to_parquet(self, path: str, sharded: bool = True) -> None:
         (self.df if sharded else self.df.coalesce(1)).write.mode("overwrite").parquet(path)
 
+    def to_parquet_sharded(self, prefix: str) -> list[str]:
+        """One file for each partition that has rows, {prefix}_{i}_of_{n}.parquet; their paths."""
+        from ..sources import parquet
+
+        return parquet.write_sharded(self.df, prefix)
+
     def to_csv(self, path: str, **options) -> None:
         from ..sources import csv
 
@@ -391,6 +499,30 @@ def _predicate(f: Callable):
     return F.udf(safe, T.BooleanType(), useArrow=True)
 
 
+def kind_of(values_) -> str:
+    """The type of plain values: that of the first present one; integers beside floats are floats."""
+    present = [x for x in values_ if x is not None]
+    if not present:
+        return INTEGER
+    first = present[0]
+    if isinstance(first, (bool, int)):
+        return FLOAT if any(isinstance(x, float) for x in present) else INTEGER
+    if isinstance(first, (list, tuple)):
+        return VECTOR if all(isinstance(x, (int, float)) for v in present for x in v) else LIST
+    found = next((k for t, k in ((float, FLOAT), (str, STRING), (dict, DICT), (datetime, DATETIME), (date, DATETIME)) if isinstance(first, t)), None)
+    if found is None:
+        raise TypeError(f"no type for {type(first).__name__}")
+    return found
+
+
+def _plain(x: object) -> str | None:
+    return x if x is None or isinstance(x, str) else json.dumps(x)
+
+
+#: How plain values of a type are made fit for Spark.
+MADE = {INTEGER: int, FLOAT: float, STRING: str, VECTOR: lambda v: list(map(float, v)), LIST: lambda v: list(map(_plain, v)), DICT: lambda v: {str(k): _plain(x) for k, x in v.items()}}
+
+
 def _member(c: Column, members: list) -> Column:
     present = [m for m in members if m is not None]
     inside = F.coalesce(c.isin(present), F.lit(False)) if present else F.lit(False)
@@ -405,15 +537,40 @@ class Series:
 
     @classmethod
     def of(cls, spark: SparkSession, data: list, kind: str | None = None) -> Series:
-        if kind is None:
-            first = next((x for x in data if x is not None), None)
-            kind = INTEGER if isinstance(first, (bool, int)) else FLOAT if isinstance(first, float) else STRING if isinstance(first, str) else DICT if isinstance(first, dict) else LIST if isinstance(first, list) and any(isinstance(x, str) for x in first) else VECTOR if isinstance(first, list) else "undefined"
-        kind = dtype(kind)
-        made = {INTEGER: int, FLOAT: float, VECTOR: lambda v: list(map(float, v))}.get(kind, lambda x: x)
+        kind = dtype(kind) if kind is not None else kind_of(data)
+        made = MADE.get(kind, lambda x: x)
         schema = T.StructType([T.StructField("value", T.StringType() if kind == "undefined" else SPARK[kind])])
         df = spark.createDataFrame([(None if x is None else made(x),) for x in data], schema)
         return Frame(df)["value"]
 
+    @classmethod
+    def range(cls, spark: SparkSession, start: int, count: int, step: int = 1) -> Series:
+        return Frame.range(spark, start, count, step, "value")["value"]
+
+    @classmethod
+    def constant(cls, spark: SparkSession, value: object, size: int) -> Series:
+        return Frame.constant(spark, value, size)["value"]
+
+    @property
+    def shape(self) -> tuple[int]:
+        return (len(self),)
+
+    @property
+    def size(self) -> int:
+        return len(self)
+
+    def __repr__(self) -> str:
+        return f"Series(name={self.name!r}, dtype={self.kind!r})"
+
+    def print_rows(self, n: int = 10, width: int = 30) -> None:
+        self.to_frame().print_rows(n, width)
+
+    def explain(self, mode: str = "formatted") -> None:
+        self.to_frame().explain(mode)
+
+    def materialize(self) -> Series:
+        return self.to_frame("value").materialize()["value"]
+
     @property
     def dtype(self) -> str:
         return self.kind
@@ -436,7 +593,7 @@ class Series:
     def _other(self, other: object) -> tuple[Series, Column, str]:
         """self, the other's expression and its type, over one frame."""
         if isinstance(other, Series):
-            if other.frame is self.frame:
+            if other.frame._is(self.frame):
                 return self, other.expr, other.kind
             a, b = "a" + ORD, "b" + ORD
             zipped = self.to_frame(a).add_column(b, Series(other.to_frame(b), _q(b), other.kind, b))
@@ -558,8 +715,15 @@ class Series:
     def is_na(self) -> Series:
         return self._new(self.expr.isNull().cast("long"), INTEGER)
 
-    def is_in(self, members: list) -> Series:
-        return self._new(_member(self.expr, members).cast("long"), INTEGER)
+    def is_in(self, members: list | Series) -> Series:
+        """1 for values among the members, missing too if it is one; members may be a column, however long, which is joined to this one."""
+        if not isinstance(members, Series):
+            return self._new(_member(self.expr, members).cast("long"), INTEGER)
+        mine, there = ORD + "_value", ORD + "_member"
+        found = members.frame._df.select(members.expr.alias(there)).distinct().withColumn(ORD + "_found", F.lit(1))
+        left = self.frame._df.withColumn(mine, self.expr)
+        joined = Frame(left.join(found, F.col(mine).eqNullSafe(F.col(there)), "left").drop(mine, there))
+        return Series(joined, F.coalesce(F.col(ORD + "_found"), F.lit(0)).cast("long"), INTEGER, self.name)
 
     def __contains__(self, value: object) -> bool:
         return bool(self.frame._df.where(self.expr.eqNullSafe(F.lit(value))).limit(1).count())
@@ -580,15 +744,14 @@ class Series:
 
     def filter(self, keep: Callable | Series) -> Series:
         frame = self.to_frame("value")
-        if isinstance(keep, Series) and keep.frame is self.frame:
+        if isinstance(keep, Series) and keep.frame._is(self.frame):
             return Frame(self.frame._df.where(values.truth(keep.expr, keep.kind)).select(self.expr.alias("value")))["value"]
         return frame.mask(keep)["value"] if isinstance(keep, Series) else frame.filter("value", keep)["value"]
 
     def __getitem__(self, key):
         if isinstance(key, Series):
             return self.filter(key)
-        got = self.to_frame("value")[key]
-        return got["value"] if isinstance(key, slice) else got["value"]
+        return self.to_frame("value")[key]["value"]
 
     def dropna(self) -> Series:
         return self.to_frame("value").dropna()["value"]
@@ -691,6 +854,29 @@ class Series:
 
     countna = num_missing
 
+    def approx_count_distinct(self) -> int:
+        return self._reduce(F.approx_count_distinct(self.expr, 0.016))
+
+    def frequent_items(self, k: int = 10) -> dict:
+        """About the k most frequent values, as text, and their counts."""
+        return self.to_frame("value").aggregate({"r": FREQUENT_ITEMS("value", k)}).df.first()["r"] or {}
+
+    def quantile(self, q: float) -> float | None:
+        return self.to_frame("value").aggregate({"r": QUANTILE("value", q)}).df.first()["r"]
+
+    def median(self) -> float | None:
+        return self.quantile(0.5)
+
+    def reduce_with(self, reducer: Reducer):
+        return self.to_frame("value").reduce_with("value", reducer)
+
+    def reductions(self) -> dict:
+        """All the numbers above of a column of numbers, from one scan."""
+        c = self.expr
+        aggs = {"sum": F.sum(c), "mean": F.avg(c), "min": F.min(c), "max": F.max(c), "var": F.var_pop(c), "std": F.stddev_pop(c), "nnz": F.count_if(c != 0), "num_missing": F.count_if(c.isNull())}
+        aggs |= {"any": F.coalesce(F.bool_or(values.truth(c, self.kind)), F.lit(False)), "all": F.coalesce(F.bool_and(F.when(c.isNotNull(), values.truth(c, self.kind))), F.lit(True))}
+        return self.frame._df.agg(*[e.alias(n) for n, e in aggs.items()]).first().asDict()
+
     def sketch_summary(self):
         from .sketch import summary
 
@@ -714,6 +900,10 @@ class Series:
     def sample(self, fraction: float, seed: int = 42) -> Series:
         return self.to_frame("value").sample(fraction, seed)["value"]
 
+    def random_split(self, fraction: float, seed: int = 42) -> tuple[Series, Series]:
+        one, two = self.to_frame("value").random_split(fraction, seed)
+        return one["value"], two["value"]
+
     def to_list(self) -> list:
         return [r["value"] for r in self.to_frame("value").to_list()]
 

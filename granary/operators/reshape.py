@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +17,20 @@ def _q(name: str):
 
 
 def two_level(df: DataFrame, keys: list[str], agg: Agg, name: str) -> DataFrame:
-    """keys and name: counts by value, or sums and means by position, gathered once partial results are small."""
+    """keys and name: counts by value, values at a rank, or sums and means by position, gathered once partial results are small."""
     cols, value = [_q(k) for k in keys], _q(agg.column)
     if agg.name == "frequency_count":
         counts = df.where(value.isNotNull()).groupBy(*cols, value.cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         return counts.groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias(name))
+    if agg.name == "quantile":
+        # The rank's value is the least whose running count passes it: no group is gathered, equal values are one row.
+        counts = df.where(value.isNotNull()).groupBy(*cols, value.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        all_ = counts.groupBy(*cols).agg(F.sum("_n").alias("_all")).toDF(*[f"_k_{k}" for k in keys], "_all")
+        place = F.sum("_n").over(Window.partitionBy(*cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        match = reduce(lambda a, b: a & b, [_q(k).eqNullSafe(_q(f"_k_{k}")) for k in keys], F.lit(True))
+        placed = counts.select("*", place.alias("_to")).join(F.broadcast(all_) if not keys else all_, match)
+        reached = F.col("_to") > F.floor((F.col("_all") - 1) * agg.expression() + 0.5)
+        return placed.groupBy(*cols).agg(F.min(F.when(reached, F.col("_v"))).alias(name))
     by_place = df.select(*cols, F.posexplode(value).alias("_p", "_x")).groupBy(*cols, "_p").agg(agg.build(F.col("_x")).alias("_x"))
     return by_place.groupBy(*cols).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias(name))
 
@@ -31,16 +42,25 @@ def pack(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.select("*", F.create_map(*entries).alias(name)).drop(*columns)
 
 
+#: Columns that unpacking makes at most; more is an error, not a cut.
+MOST_COLUMNS = 10_000
+
+
 def unpack(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """One column for each key, in order of first appearance, or for each place. Reads the keys once before."""
+    """One column for each key, in order of first appearance, or for each place, at most MOST_COLUMNS. Reads the keys once before."""
     kind = df.schema[column].dataType
     title = lambda k: f"{prefix}.{k}" if prefix else str(k)
     if isinstance(kind, T.MapType):
         at = F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()
         seen = df.select(at.alias("_o"), F.posexplode(F.map_keys(_q(column))).alias("_p", "_k")).groupBy("_k").agg(F.min(F.struct("_o", "_p")).alias("_f")).orderBy("_f")
-        new = [F.try_element_at(_q(column), F.lit(r["_k"])).alias(title(r["_k"])) for r in seen.collect()]  # the new schema
+        found = seen.limit(MOST_COLUMNS + 1).collect()  # the new schema
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} keys")
+        new = [F.try_element_at(_q(column), F.lit(r["_k"])).alias(title(r["_k"])) for r in found]
     elif isinstance(kind, T.ArrayType):
         longest = df.agg(F.max(F.size(_q(column)))).first()[0] or 0
+        if longest > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} places")
         new = [F.get(_q(column), F.lit(i)).alias(title(i)) for i in range(max(longest, 0))]
     else:
         raise TypeError(f"cannot unpack {kind.simpleString()}")

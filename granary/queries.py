@@ -32,8 +32,12 @@ def _frame(spark: SparkSession, d: str, name: str) -> Frame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
+    """A new folder that all executors share; one of our own only where all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="granary-")
     return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
@@ -156,6 +160,11 @@ for _name, _f, _sql in [
     ("astype_int", lambda f: (f["q"] / 3.0).astype(int), "CAST(trunc(q / 3.0) AS BIGINT)"),
     ("astype_float", lambda f: f["n"].astype(float), "CAST(n AS DOUBLE)"),
     ("astype_str", lambda f: f["q"].astype(str), "CAST(CAST(q AS BIGINT) AS VARCHAR)"),
+    ("astype_int_str", lambda f: f["n"].astype(str), "CAST(n AS VARCHAR)"),
+    ("astype_str_int", lambda f: f["n"].astype(str).astype(int), "n"),
+    ("astype_str_float", lambda f: f["l_discount"].astype(str).astype(float), "l_discount"),
+    ("astype_text_no_number", lambda f: f["l_returnflag"].astype(int).fillna(-1), "CAST(-1 AS BIGINT)"),
+    ("reflected", lambda f: 100 / (f["n"] * 2) + 7 % f["n"], "CAST(100 AS DOUBLE) / (n * 2) + 7 % n"),
     ("string_concat", lambda f: "x" + f["l_returnflag"] + f["l_returnflag"], "'x' || l_returnflag || l_returnflag"),
     ("item_length", lambda f: f["l_returnflag"].item_length(), "CAST(octet_length(encode(l_returnflag)) AS BIGINT)"),
     ("udf_apply", lambda f: f["n"].apply(lambda x: x * x + 1), "n * n + 1"),
@@ -232,13 +241,58 @@ for _name, _agg, _sql, _wrap in [
     ("agg_all", A.ALL("n"), "CAST(coalesce(bool_and(n <> 0), true) AS BIGINT)", None),
     ("agg_quantile", A.QUANTILE("n", 0.3), "CAST(list_sort(list(n) FILTER (WHERE n IS NOT NULL))[CAST(floor((count(n) - 1) * 0.3 + 0.5) AS BIGINT) + 1] AS DOUBLE)", None),
     ("agg_median", A.MEDIAN("n"), "CAST(list_sort(list(n) FILTER (WHERE n IS NOT NULL))[CAST(floor((count(n) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS DOUBLE)", None),
-    ("agg_approx_distinct", A.APPROX_COUNT_DISTINCT("n"), "count(DISTINCT n) BETWEEN 6 AND 6", lambda c: c.between(6, 6)),
-    ("agg_concat", A.CONCAT("n"), "count(*)", lambda c: F.size(c).cast("long")), ("agg_zip_list", A.ZIP_LIST("n"), "count(*) - count(n)", lambda c: F.size(F.filter(c, lambda x: x.isNull())).cast("long")),
-    ("agg_select_one", A.SELECT_ONE("n"), "true", lambda c: c.between(1, 7)),
 ]:
     _grouped(_name, _agg, _sql, _wrap or (lambda c: c))
 
 
+# All values of a group in row order, missing ones too.
+for _name, _agg, _c in [("agg_concat", A.CONCAT, "n"), ("agg_zip_list", A.ZIP_LIST, "q")]:
+
+    @_query(f"WITH t AS (SELECT l_returnflag, l_linenumber, l_quantity, row_number() OVER () AS o FROM lineitem), u AS (SELECT l_returnflag, o, CAST(nullif(l_linenumber, 3) AS BIGINT) AS n, nullif(l_quantity, 1.0) AS q FROM t) SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY o) - 1 AS i, {_c} AS v FROM u", name=_name)
+    def _in_order(spark, d, agg=_agg, c=_c):
+        out = _items(spark, d).groupby("l_returnflag", {"r": agg(c)})
+        return out.df.select("l_returnflag", F.posexplode("r").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+
+
+@_query("SELECT o_custkey, max(CASE WHEN o_orderkey % 2 = 1 THEN 'customer ' || o_custkey END) AS r FROM orders GROUP BY 1")
+def agg_select_one(spark, d):
+    f = _frame(spark, d, "orders").df.select("o_custkey", F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("customer "), F.col("o_custkey"))).alias("x"))
+    return Frame(f).groupby("o_custkey", {"r": A.SELECT_ONE("x")}).df
+
+
+@_query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, true AS near FROM lineitem GROUP BY 1")
+def agg_approx_distinct(spark, d):
+    out = _items(spark, d).groupby("l_returnflag", {"a": A.APPROX_COUNT_DISTINCT("l_orderkey"), "exact": A.COUNT_DISTINCT("l_orderkey")})
+    return out.df.select("l_returnflag", "exact", (F.abs(F.col("a") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@_query(f"WITH t AS ({_NQ}) SELECT CAST(n AS VARCHAR) AS v, count(*) AS c FROM t WHERE n IS NOT NULL GROUP BY 1")
+def aggregate_frequency_count(spark, d):
+    return _items(spark, d).aggregate({"r": A.FREQ_COUNT("n")}).df.select(F.explode("r").alias("v", "c"))
+
+
+@_query("WITH e AS (SELECT unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT i, round(sum(x), 5) AS s, round(avg(x), 5) AS m FROM e GROUP BY 1")
+def aggregate_vector_sum(spark, d):
+    out = _vectors(spark, d).aggregate({"s": A.VECTOR_SUM("embedding"), "m": A.VECTOR_AVG("embedding")})
+    return out.df.select(F.posexplode(F.arrays_zip("s", "m")).alias("i", "z")).select(F.col("i").cast("long").alias("i"), F.round("z.s", 5).alias("s"), F.round("z.m", 5).alias("m"))
+
+
+@_query(f"WITH t AS ({_NQ}) SELECT count(*) AS n, CAST(list_sort(list(n) FILTER (WHERE n IS NOT NULL))[CAST(floor((count(n) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS high, CAST(sum(n) AS BIGINT) AS total FROM t")
+def aggregate_mixed(spark, d):
+    return _items(spark, d).aggregate({"n": A.COUNT(), "high": A.QUANTILE("n", 0.9), "total": A.SUM("n")}).df
+
+
+@_query(f"WITH t AS ({_NQ}) SELECT CAST(sum(n * n) AS BIGINT) AS squares, count(*) - count(n) AS missing FROM t")
+def reduce_with(spark, d):
+    squares = A.Reducer(lambda: (0, 0), lambda s, x: (s[0], s[1] + 1) if x is None else (s[0] + x * x, s[1]), lambda s, t: (s[0] + t[0], s[1] + t[1]))
+    return spark.createDataFrame([_items(spark, d)["n"].reduce_with(squares)], "squares bigint, missing bigint")
+
+
+@_query(f"WITH t AS ({_NQ}) SELECT l_orderkey * 10 + l_linenumber AS place, l_returnflag || coalesce(CAST(n AS VARCHAR), '-') AS tag FROM t")
+def apply_rows(spark, d):
+    return _items(spark, d).apply_rows(lambda r: (r["l_orderkey"] * 10 + r["l_linenumber"], r["l_returnflag"] + ("-" if r["n"] is None else str(r["n"]))), {"place": int, "tag": str}).df
+
+
 @_query(f"WITH t AS ({_NQ}) SELECT l_returnflag, CAST(n AS VARCHAR) AS v, count(*) AS c FROM t WHERE n IS NOT NULL GROUP BY 1, 2")
 def agg_frequency_count(spark, d):
     out = _items(spark, d).groupby("l_returnflag", {"r": A.FREQ_COUNT("n")})
@@ -277,8 +331,8 @@ def unique_column(spark, d):
 @_query(f"WITH t AS ({_NQ}) SELECT CAST(sum(n) AS BIGINT) AS s, round(avg(q), 4) AS m, min(n) AS lo, max(n) AS hi, round(stddev_pop(n), 4) AS sd, round(var_pop(n), 4) AS v, count(*) - count(n) AS na, count(*) FILTER (WHERE n <> 0) AS nz, true AS a, true AS l FROM t")
 def column_reductions(spark, d):
     f = _items(spark, d)
-    n, q = f["n"], f["q"]
-    row = (n.sum(), round(q.mean(), 4), n.min(), n.max(), round(n.std(), 4), round(n.var(), 4), n.num_missing(), n.nnz(), n.any(), n.all())
+    n = f["n"].reductions()
+    row = (n["sum"], round(f["q"].mean(), 4), n["min"], n["max"], round(n["std"], 4), round(n["var"], 4), n["num_missing"], n["nnz"], n["any"], n["all"])
     return spark.createDataFrame([row], "s bigint, m double, lo bigint, hi bigint, sd double, v double, na bigint, nz bigint, a boolean, l boolean")
 
 
@@ -291,20 +345,26 @@ def sketch_summary(spark, d):
     return spark.createDataFrame([row], "size bigint, missing bigint, lo bigint, hi bigint, total bigint, ones bigint, distinct_near boolean, median_near boolean")
 
 
-@_query("SELECT abs(approx - exact) <= 0.08 * exact AS near FROM (SELECT count(DISTINCT user_id) AS exact, count(DISTINCT user_id) AS approx FROM events)")
+@_query("SELECT count(DISTINCT user_id) AS exact, true AS near FROM events")
 def approx_distinct(spark, d):
-    out = _frame(spark, d, "events").aggregate({"a": A.APPROX_COUNT_DISTINCT("user_id"), "e": A.COUNT_DISTINCT("user_id")})
-    return out.df.select((F.abs(F.col("a") - F.col("e")) <= 0.08 * F.col("e")).alias("near"))
+    f = _frame(spark, d, "events")
+    exact, about = f.aggregate({"e": A.COUNT_DISTINCT("user_id")}).df.first()["e"], f["user_id"].approx_count_distinct()
+    return spark.createDataFrame([(exact, abs(about - exact) <= 0.05 * exact)], "exact bigint, near boolean")
 
 
-# Joins
+@_query("SELECT event_type AS v, count(*) AS c FROM events GROUP BY 1")
+def column_frequent_items(spark, d):
+    return spark.createDataFrame(list(_frame(spark, d, "events")["event_type"].frequent_items(10).items()), "v string, c bigint")
+
+
+# Joins of whole tables; a third of the customers and a fifth of the orders have keys that the other side does not know.
 for _how in ("inner", "left", "right", "full"):
 
-    @_query(f"SELECT coalesce(c.c_custkey, o.o_custkey) AS c_custkey, c.c_name, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {_how} JOIN (SELECT * FROM orders WHERE o_custkey % 5 <> 0) o ON c.c_custkey = o.o_custkey", name=f"join_{_how}")
+    @_query(f"SELECT coalesce(c.k, o.k) AS k, c.c_name, o.o_orderkey FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer) c {_how} JOIN (SELECT CASE WHEN o_custkey % 5 = 0 THEN -o_custkey - 1000000000 ELSE o_custkey END AS k, o_orderkey FROM orders) o ON c.k = o.k", name=f"join_{_how}")
     def _join(spark, d, how=_how):
-        c = _frame(spark, d, "customer").where(F.col("c_custkey") % 3 != 0)[["c_custkey", "c_name"]]
-        o = _frame(spark, d, "orders").where(F.col("o_custkey") % 5 != 0)[["o_custkey", "o_orderkey"]]
-        return c.join(o, {"c_custkey": "o_custkey"}, how).df
+        c = Frame(_frame(spark, d, "customer").df.select(F.when(F.col("c_custkey") % 3 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("k"), "c_name"))
+        o = Frame(_frame(spark, d, "orders").df.select(F.when(F.col("o_custkey") % 5 == 0, -F.col("o_custkey") - 1000000000).otherwise(F.col("o_custkey")).alias("ok"), "o_orderkey"))
+        return c.join(o, {"k": "ok"}, how).df
 
 
 _NATION = "SELECT CAST(nullif(n_regionkey, 2) AS BIGINT) AS k, n_name, CAST(n_nationkey AS BIGINT) AS id FROM nation"
@@ -377,14 +437,58 @@ def random_split(spark, d):
     return _items(spark, d).random_split(0.3, 42, ["l_orderkey", "l_linenumber"])[1][["l_orderkey", "l_linenumber"]].df
 
 
+@_query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS back FROM orders) WHERE back BETWEEN 4 AND 10")
+def slice_from_the_end(spark, d):
+    return _frame(spark, d, "orders")[["o_orderkey"]].sort("o_orderkey")[-10:-3].df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) FROM region UNION ALL SELECT s_suppkey FROM supplier")
+def append_several(spark, d):
+    n, r, s = (_frame(spark, d, t).rename({k: "id"})[["id"]] for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")))
+    return n.append(r, s).df
+
+
+@_query("SELECT o_orderkey, o_custkey, o_custkey + o_orderkey AS total FROM orders")
+def column_union(spark, d):
+    one, two = _frame(spark, d, "orders")[["o_orderkey"]], _frame(spark, d, "orders")[["o_custkey"]]
+    f = one.add_column("o_custkey", two["o_custkey"])  # columns of two tables, zipped by their order
+    return f.add_column("total", f["o_custkey"] + f["o_orderkey"]).df
+
+
+@_query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER () - 1 AS i FROM orders) WHERE i BETWEEN 100 AND 1099")
+def parquet_row_range(spark, d):
+    return parquet.read(spark, f"{d}/orders.parquet", rows=(100, 1100))[["o_orderkey"]].df
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders")
+def parquet_sharded(spark, d):
+    path = _folder(spark)
+    Frame(_frame(spark, d, "orders").df.select("o_orderkey", "o_custkey").repartition(3)).to_parquet_sharded(f"{path}/orders")
+    return parquet.read(spark, f"{path}/orders_*_of_3.parquet").df
+
+
+@_query("SELECT c_custkey, CAST(c_custkey IN (SELECT o_custkey FROM orders) AS BIGINT) AS r FROM customer")
+def is_in_column(spark, d):
+    f = _frame(spark, d, "customer")[["c_custkey"]]
+    found = f["c_custkey"].is_in(_frame(spark, d, "orders")["o_custkey"])
+    return found.frame.add_column("r", found)[["c_custkey", "r"]].df
+
+
+@_query(f"WITH t AS ({_NQ}) SELECT n AS value FROM t WHERE n > 2")
+def column_filter(spark, d):
+    n = _items(spark, d)["n"]
+    return n[n > 2].dropna().frame.df
+
+
 # Windows
-for _f in ("sum", "mean", "min", "max"):
-    _sqlf = {"mean": "avg"}.get(_f, _f)
+for _f in ("sum", "mean", "min", "max", "count", "var", "std"):
+    _sqlf = {"mean": "avg", "var": "var_samp", "std": "stddev_samp"}.get(_f, _f)
 
-    @_query(f"SELECT event_id, CASE WHEN count(x) OVER w >= 3 THEN {_sqlf}(x) OVER w END AS r FROM (SELECT event_id, CAST(nullif(event_id % 10, 7) AS BIGINT) AS x FROM events) WINDOW w AS (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)".replace("sum(x) OVER w END", "CAST(sum(x) OVER w AS BIGINT) END"), name=f"rolling_{_f}")
+    @_query(f"SELECT event_id, CASE WHEN count(x) OVER w >= 3 THEN {f'{_sqlf}(x) OVER w' if _f not in ('var', 'std') else f'round({_sqlf}(x) OVER w, 6)'} END AS r FROM (SELECT event_id, CAST(nullif(event_id % 10, 7) AS BIGINT) AS x FROM events) WINDOW w AS (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)".replace("sum(x) OVER w END", "CAST(sum(x) OVER w AS BIGINT) END"), name=f"rolling_{_f}")
     def _rolling(spark, d, how=_f):
         f = Frame(_frame(spark, d, "events").df.select("event_id", F.nullif(F.col("event_id") % 10, F.lit(7).cast("long")).alias("x")))
-        return f.add_column("r", f["x"].rolling(how, 2, 1, 3, order_by="event_id"))[["event_id", "r"]].df
+        out = f.add_column("r", f["x"].rolling(how, 2, 1, 3, order_by="event_id"))[["event_id", "r"]].df
+        return out.withColumn("r", F.round("r", 6)) if how in ("var", "std") else out
 
 
 @_query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS r FROM events")
@@ -404,39 +508,20 @@ def _counts(f: Frame, s: Series) -> DataFrame:
     return f.add_column("r", s).df.select(list(f.df.columns)[0], F.explode("r").alias("k", "c"))
 
 
-@_query(r"WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark), t AS (SELECT item_id, regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS k FROM w) SELECT item_id, k, count(*) AS c FROM t WHERE k <> '' GROUP BY 1, 2")
-def bag_of_words(spark, d):
-    f = _frame(spark, d, "benchmark")
-    return _counts(f, f["text"].count_bag_of_words())
-
-
-@_query(r"WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), t AS (SELECT item_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS k FROM w) SELECT item_id, k, count(*) AS c FROM t GROUP BY 1, 2")
-def word_ngrams(spark, d):
-    f = _frame(spark, d, "benchmark")
-    return _counts(f, f["text"].count_ngrams(2))
-
-
-@_query("WITH t AS (SELECT r_regionkey, unnest([substr(lower(r_name), i, 3) FOR i IN range(1, length(r_name) - 1)]) AS k FROM region) SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, k, count(*) AS c FROM t GROUP BY 1, 2")
-def char_ngrams(spark, d):
-    f = _frame(spark, d, "region")
-    return _counts(f, f["r_name"].count_character_ngrams(3))
-
-
-# The same over whole documents.
 @_query(r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), t AS (SELECT doc_id, regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS k FROM w) SELECT doc_id, k, count(*) AS c FROM t WHERE k <> '' GROUP BY 1, 2")
-def bag_of_words_documents(spark, d):
+def bag_of_words(spark, d):
     f = _frame(spark, d, "documents")[["doc_id", "text"]]
     return _counts(f, f["text"].count_bag_of_words())
 
 
 @_query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS k FROM w WHERE len(w) > 1) SELECT doc_id, k, count(*) AS c FROM t GROUP BY 1, 2")
-def word_ngrams_documents(spark, d):
+def word_ngrams(spark, d):
     f = _frame(spark, d, "documents")[["doc_id", "text"]]
     return _counts(f, f["text"].count_ngrams(2))
 
 
 @_query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '(?s).') AS w FROM documents), t AS (SELECT doc_id, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda z: z[1] || z[2] || z[3])) AS k FROM w WHERE len(w) > 2) SELECT doc_id, k, count(*) AS c FROM t GROUP BY 1, 2")
-def char_ngrams_documents(spark, d):
+def char_ngrams(spark, d):
     f = _frame(spark, d, "documents")[["doc_id", "text"]]
     return _counts(f, f["text"].count_character_ngrams(3))
 
@@ -468,10 +553,10 @@ def dict_trim_by_values(spark, d):
     return f.add_column("r", f["m"].dict_trim_by_values(5, 50)).df.select("event_id", F.explode("r").alias("k", "v"))
 
 
-@_query("SELECT event_id, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM events")
+@_query("SELECT event_id, CAST(event_type IN ('click', 'view') AS BIGINT) AS a, CAST(event_type = 'click' AS BIGINT) AS b FROM events")
 def dict_has_keys(spark, d):
-    f = _props(spark, d)
-    return f.add_columns({"a": f["m"].dict_has_any_keys(["x", "user"]), "b": f["m"].dict_has_all_keys(["x", "user"])})[["event_id", "a", "b"]].df
+    f = Frame(_frame(spark, d, "events").df.select("event_id", F.create_map("event_type", "value", F.lit("user"), F.lit(1.0)).alias("m")))
+    return f.add_columns({"a": f["m"].dict_has_any_keys(["click", "view"]), "b": f["m"].dict_has_all_keys(["click", "user"])})[["event_id", "a", "b"]].df
 
 
 # Shape
@@ -492,14 +577,17 @@ def unpack_list(spark, d):
     return f.add_column("e", f["embedding"].vector_slice(0, 2)).remove_column("embedding").unpack_column("e").df
 
 
-@_query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
+# Empty and missing lists and maps give one row with missing.
+@_query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 4 < 2 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id % 4 >= 2")
 def stack_list(spark, d):
-    return _vectors(spark, d).stack("embedding", "x").df
+    some = F.when(F.col("vec_id") % 4 < 2, F.col("embedding")).when(F.col("vec_id") % 4 == 2, F.array().cast("array<double>"))
+    return Frame(_vectors(spark, d).df.withColumn("embedding", some)).stack("embedding", "x").df
 
 
-@_query(f"WITH t AS ({_MAP}) SELECT event_id, unnest(['type', 'user']) AS k, unnest([type, u]) AS v FROM t")
+@_query(f"WITH t AS ({_MAP}) SELECT event_id, unnest(['type', 'user']) AS k, unnest([type, u]) AS v FROM t WHERE event_id % 4 < 2 UNION ALL SELECT event_id, NULL, NULL FROM t WHERE event_id % 4 >= 2")
 def stack_dict(spark, d):
-    return _props(spark, d).stack("m", ["k", "v"]).df
+    some = F.when(F.col("event_id") % 4 < 2, F.col("m")).when(F.col("event_id") % 4 == 2, F.map_filter("m", lambda k, v: F.lit(False)))
+    return Frame(_props(spark, d).df.withColumn("m", some)).stack("m", ["k", "v"]).df
 
 
 # Sources and sinks: what is written and read again is the table.
@@ -511,10 +599,15 @@ def _customer(spark, d) -> Frame:
     return Frame(df.select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("c_mktsegment")))
 
 
-@_query(_CUST)
+# Names with quotes, delimiters, line ends, comment marks, brackets and blanks at the ends.
+_ODD = [", \"x\"", "\nsecond line", " # no comment", "[1, 2", "  ", ""]
+
+
+@_query("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN ', \"x\"' WHEN 1 THEN chr(10) || 'second line' WHEN 2 THEN ' # no comment' WHEN 3 THEN '[1, 2' WHEN 4 THEN '  ' ELSE '' END || c_name || CASE c_custkey % 7 WHEN 0 THEN ', \"x\"' WHEN 1 THEN chr(10) || 'second line' WHEN 2 THEN ' # no comment' WHEN 3 THEN '[1, 2' WHEN 4 THEN '  ' ELSE '' END AS c_name, c_acctbal, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
 def csv_round_trip(spark, d):
-    path = _folder(spark)
-    _customer(spark, d).to_csv(path, na_rep="NA")
+    path, df = _folder(spark), _customer(spark, d).df
+    odd = F.coalesce(F.get(F.array(*map(F.lit, _ODD)), (F.col("c_custkey") % 7).cast("int")), F.lit(""))
+    Frame(df.withColumn("c_name", F.concat(odd, "c_name", odd))).to_csv(path, na_rep="NA", single_file=False)
     return csv.read(spark, path, na_values=["NA"]).df
 
 
@@ -541,13 +634,19 @@ def native_round_trip(spark, d):
     return loaded.df
 
 
-@_query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'b'), (3, NULL)) t(id, name)")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(nullif(n_regionkey, 2) AS BIGINT) AS n_regionkey FROM nation UNION ALL SELECT CAST(r_regionkey + 100 AS BIGINT), r_name, NULL FROM region")
 def stream_writer(spark, d):
     path = _folder(spark)
-    with StreamWriter(spark, path, {"id": "int", "name": "str"}, buffer_rows=2) as w:
-        w.write_batch({"id": [1, 2], "name": ["a", "b"]})
-        w.write_batch({"name": [None], "id": [3]})
-    return native.load(spark, path).df
+    nation, region = (_frame(spark, d, t).to_list() for t in ("nation", "region"))  # two tables of fixed size
+    with StreamWriter(spark, path, {"n_nationkey": "int", "n_name": "str", "n_regionkey": "int"}, buffer_rows=7) as w:
+        for at in range(0, len(nation), 4):
+            part = nation[at : at + 4]
+            w.write_batch({"n_name": [r["n_name"] for r in part], "n_nationkey": [r["n_nationkey"] for r in part], "n_regionkey": [None if r["n_regionkey"] == 2 else r["n_regionkey"] for r in part]})
+        w.write_batch({"n_nationkey": [r["r_regionkey"] + 100 for r in region], "n_name": [r["r_name"] for r in region], "n_regionkey": [None] * len(region)})
+        w.set_metadata("rows", str(len(nation) + len(region)))
+    loaded = native.load(spark, path)
+    assert loaded.metadata == {"rows": str(loaded.num_rows())}
+    return loaded.df
 
 
 @_query("SELECT CAST(range AS BIGINT) AS id FROM range(5, 105, 5)")
