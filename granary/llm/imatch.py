@@ -10,13 +10,16 @@ lexicons tell exact rearrangements, thinned ones follow the overlap of the terms
 
 A text without any term of the lexicon is hashed from all its terms, or from itself if it has none: one slot, so that
 its likeness to another text is 1 or 0. Null texts count as empty. The next document of a row is the row that follows in
-descending order of the key (ties by text; null keys last), of the last row the first; a lone row is its own next.
-Repeated rows give repeated rows; an empty table gives an empty one; columns besides key and text are not read.
+descending order of the key (ties by text; null keys last), of the last row the first; a lone row is its own next. Texts
+are read whole, however long. Repeated rows give repeated rows; an empty table gives an empty one; columns besides key
+and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import string
 from collections import Counter
 
@@ -34,8 +37,12 @@ MARKS = string.punctuation + "«»“”„‘’…–—¿¡。、，；：？
 SLOTS = 48
 HALVINGS = (0, 2, 4, 5, 6, 7, 7, 8, 8, 9, 9, 9, 10, 10, 10, 10)
 EMPTY = "-" * 8
-#: Ranges of the key, so that the list of their ends stays small; beyond, ranges hold more rows, which are streamed.
-MOST_PARTS = 4_096
+#: Ranges of the order, so that the list of their ends stays small; beyond, ranges hold more rows, which are streamed.
+MOST_PARTS = 65_536
+#: Rows looked at for each end of a range. Only where ranges end depends on them.
+LOOKED_AT = 40
+#: Characters of a text that tell where rows of one key are cut into ranges.
+START = 64
 
 
 def terms(text: str) -> set[str]:
@@ -133,25 +140,37 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, key: str, text: str, rows: int) -> tuple[DataFrame, int]:
-    """Rows k, t, part, guest, and the number of parts: parts of about `rows` rows, at most MOST_PARTS, by ranges of the key, each sorted downwards, with the first row of the next non-empty part as a guest at the end."""
+    """Rows part, guest, the order (z, a, t), h (the start of t) and k, and the number of parts: parts of about `rows` rows, at most MOST_PARTS, by ranges of the order, with the first row of the next non-empty part as a guest at the end."""
     spark = session_of(docs)
-    base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n = base.count()
-    wanted = min(n // rows, MOST_PARTS)
-    cuts = sorted({int(c) for c in base.stat.approxQuantile("k", [i / (wanted + 1) for i in range(1, wanted + 1)], 0.1 / (wanted + 1))}) if wanted else []
-    # Part 0 holds the largest keys; null keys come last. Cuts are as many as the parts.
-    below = F.lit(0)
-    if cuts:
-        held = F.array(*map(F.lit, cuts))
-        below = F.size(F.filter(held, lambda c: c > F.col("k")))  # cuts above the key
-    parts = base.withColumn("part", F.when(F.col("k").isNull(), len(cuts)).otherwise(below).cast("int"))
-    # The first row of each part: the largest key, of these the least text. One row for each part.
-    first = parts.groupBy("part").agg(F.max("k").alias("top")).collect()
-    order = sorted(row["part"] for row in first)
+    base = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # Null keys last, then keys downwards, then texts: rows that share a key are split as others are, by how they start.
+    base = base.select(F.col("k").isNull().cast("int").alias("z"), F.coalesce(F.bitwise_not("k"), F.lit(0)).alias("a"), F.substring("t", 1, START).alias("h"), "k", "t")
+    n = base.select("k").count()
+    wanted = max(1, min(n // rows, MOST_PARTS))
+    seen = base.where(F.pmod(F.xxhash64("a", "t"), F.lit(n)) < LOOKED_AT * wanted).select("z", "a", "h").toArrow() if wanted > 1 else None
+    cuts: list[tuple] = []
+    if seen is not None and len(seen):  # at most about LOOKED_AT * MOST_PARTS rows of two numbers and a start
+        seen = seen.sort_by([(c, "ascending") for c in "zah"])
+        cuts = sorted(set(zip(*(seen[c].take([i * len(seen) // wanted for i in range(1, wanted)]).to_pylist() for c in "zah"))))
+    # The part of a row is the number of cuts that do not follow it: first among every width-th cut, then among those between.
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    shape = "array<array<struct<z:int,a:bigint,h:string>>>"
+    held = F.from_json(F.lit(json.dumps([[{"z": z, "a": a, "h": h} for z, a, h in g] for g in groups])), shape)
+    row = F.struct("z", "a", "h")
+    group = F.size(F.filter(F.transform(held, lambda g: g[0]), lambda c: c <= row))
+    inside = F.size(F.filter(F.get(held, group - 1), lambda c: c <= row))
+    part = F.when(group == 0, 0).otherwise((group - 1) * width + inside) if cuts else F.lit(0)
+    parts = base.withColumn("part", part.cast("int"))
+    # The first row of each part: one row for each part.
+    first = parts.groupBy("part").agg(F.min(row).alias("f")).collect()
+    order = sorted(r["part"] for r in first)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the part whose last row is followed by the first of p
-    tops = spark.createDataFrame([(row["part"], row["top"], before[row["part"]]) for row in first], "part int, top bigint, host int")
-    guests = parts.join(F.broadcast(tops), "part").where(F.col("k").eqNullSafe(F.col("top"))).groupBy("part", "k", "host").agg(F.min("t").alias("t"))
-    return parts.select("part", F.lit(False).alias("guest"), "k", "t").union(guests.select(F.col("host").alias("part"), F.lit(True), "k", "t")), len(cuts) + 1
+    tops = spark.createDataFrame([(r["part"], *r["f"], before[r["part"]]) for r in first], "p int, fz int, fa bigint, fh string, host int")
+    at_top = (F.col("part") == F.col("p")) & (F.col("z") == F.col("fz")) & (F.col("a") == F.col("fa")) & (F.col("h") == F.col("fh"))
+    guests = parts.join(F.broadcast(tops), at_top).groupBy("host", "z", "a", "h", "k").agg(F.min("t").alias("t"))
+    columns = ["z", "a", "h", "k", "t"]
+    return parts.select("part", F.lit(False).alias("guest"), *columns).union(guests.select(F.col("host").alias("part"), F.lit(True), *columns)), len(cuts) + 1
 
 
 def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", part_rows: int = 4_000, least_share: float = 0.002, most_share: float = 0.2) -> DataFrame:
@@ -172,7 +191,7 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", part_r
         last = None  # part, row and fingerprint of the row before
         for batch in batches:
             out = []
-            for part, guest, k, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, guest, k, t in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "k", "t"))):
                 mine = maker.fingerprint(t)
                 if last and last[0] == part:
                     out.append(report(last[1], last[2], t, mine))
@@ -180,5 +199,5 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", part_r
             yield pa.RecordBatch.from_pydict({f.name: [row[i] for row in out] for i, f in enumerate(schema)}, schema)
 
     schema = pa.schema([(key, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("k"), "t")
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "z", "a", "t")
     return dealt.mapInArrow(run, f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
