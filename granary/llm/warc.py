@@ -4,13 +4,14 @@ Every page gives one record, `response` or `revisit`, whose block is an HTTP res
 are framed as chunked transfers. A block above `segment` bytes is cut into the record itself (segment 1) and
 `continuation` records that name its identifier, their number and, in the last, the total length. Reading groups
 continuations by that identifier, orders them by number, checks the total length, undoes the transfer framing and checks
-the payload's digest. Archives are gzip files in the shared folder, at most `records` pages each, written by Spark's
-committed writer, so that a lost executor leaves no partial file behind.
+the payload's digest. Archives are gzip files in the shared folder, each of about `archive` bytes of records (one page
+more at most), written by Spark's committed writer, so that a lost executor leaves no partial file behind.
 
 Of pages with equal payloads of at least `least` bytes the one with the largest key is the response (rows tied on it
 all are), the others revisit it; smaller payloads are all responses. Null payloads count as empty; null keys come back
-null and are not referred to unless all keys of the payload are null; repeated rows give repeated rows; an empty table
-gives an empty one; columns besides key, address and payload are not read.
+null and are not referred to unless all keys of the payload are null; long payloads are taken whole, in segments;
+repeated rows give repeated rows; an empty table gives an empty one; columns besides key, address and payload are not
+read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, session_of, small_batches
+from .common import checked, cut, new_path, session_of, small_batches
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -111,24 +112,37 @@ def read_block(block: bytes) -> tuple[bytes | None, int]:
     return (None if size and not body else body), size
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, segment: int = 16_384, chunk_from: int = 2_048, chunk: int = 4_096, rows: int = 1_000) -> None:
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, segment: int = 16_384, chunk_from: int = 2_048, chunk: int = 4_096, archive: int = 16 << 20) -> None:
     """Writes one record (and its continuations) for each row into gzip files under path."""
     small_batches(session_of(pages))
     own = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8").alias("p"))
-    own = own.withColumn("d", F.sha1("p")).withColumn("size", F.octet_length("p"))
+    own = own.withColumn("d", F.unhex(F.sha1("p"))).withColumn("size", F.octet_length("p"))
     groups = own.where(F.col("size") >= least).groupBy("d", "size").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("n"))
     groups = groups.where("n > 1").select(F.col("d").alias("gd"), F.col("size").alias("gs"), "top")  # the rest needs no reference
-    dealt = own.join(groups, (F.col("d") == F.col("gd")) & (F.col("size") == F.col("gs")), "left")
-    dealt = dealt.select("k", "u", "p", "d", "top", (F.col("gd").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))).alias("again"))
+    groups = cut(groups, "repeated")  # digests and keys alone; where they are few, no payload is dealt
+    dealt = own.join(checked(groups, groups.count()), (F.col("d") == F.col("gd")) & (F.col("size") == F.col("gs")), "left")
+    dealt = dealt.select("k", "u", "p", F.lower(F.hex("d")).alias("d"), "top", (F.col("gd").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))).alias("again"))
 
     def run(batches):
+        held: list[bytes] = []  # records of one archive, each without its end
+        size = 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([(CRLF + CRLF).join(held)], pa.binary())], ["value"])
+
         for batch in batches:
-            out = [written(k, u, p, d, top, again, segment, chunk_from, chunk)[:-4] for k, u, p, d, top, again in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for k, u, p, d, top, again in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(written(k, u, p, d, top, again, segment, chunk_from, chunk)[:-4])
+                size += len(held[-1])
+                if size >= archive:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    # The text writer puts bytes as they are; its line end is the end of a record, so run() leaves that off.
+    # The text writer puts bytes as they are; its line end is the end of a record, so run() leaves the last one off.
     lines = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
