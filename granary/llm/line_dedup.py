@@ -1,26 +1,30 @@
 """Cross-site removal of boilerplate lines.
 
-Every line is known by a 64-bit hash. HyperLogLog sketches of the sites that show a line merge by aggregation; where the
-estimated spread lies near the threshold, the distinct sites are counted exactly. A line seen on at least `sites` sites
-is boilerplate: it stays once, in the row of the least key that shows it, and goes from all other places.
-
-Lines are what newlines part, without surrounding blanks; blank lines are never boilerplate and stay. Null sites do not
-count; null texts have no lines and stay null; a row with a null key shows lines but never holds the one that stays, so
-all its boilerplate goes; repeated rows of the least key each keep the line once. An empty table gives an empty one.
+Every line is known by a 64-bit hash; two different lines out of n share one with a probability of about n² / 2^65, which
+is accepted. HyperLogLog sketches of the sites that show a line merge by aggregation; where the estimated spread lies near
+the threshold, the distinct sites are counted exactly. A line seen on at least `sites` sites is boilerplate: it stays
+once, in the row of the least key that shows it, and goes from all other places.
+
+Lines are what newlines part, without BLANKS around them (other blanks of Unicode are part of a line); lines of blanks
+are never boilerplate and stay. Null sites do not count; null texts have no lines and stay null; a row with a null key
+shows lines but never holds the one that stays, so all its boilerplate goes; repeated rows of the least key each keep the
+line once. Texts are read whole, however long; columns besides key, text and site pass unchanged, whatever their names;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, session_of, small_batches
+from .common import checked, cut, session_of, small_batches
 
-#: Up to so many boilerplate lines are broadcast (16 bytes each); beyond, they are joined.
-BROADCAST_LINES = 1_000_000
+#: What does not count at the ends of a line.
+BLANKS = " \t\r"
+#: Up to so many boilerplate lines are broadcast (16 bytes each); beyond, they are joined, with the same result.
+BROADCAST_LINES = 200_000
 
 
 def _signed(n: int) -> int:
@@ -40,7 +44,7 @@ def shown(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
             least: dict[tuple, int | None] = {}
             for k, t, s in zip(*(c.to_pylist() for c in batch.columns)):
                 if t:
-                    for h in {hash_of(w) for line in t.split("\n") if (w := line.strip())}:
+                    for h in {hash_of(w) for line in t.split("\n") if (w := line.strip(BLANKS))}:
                         old = least.get((h, s))
                         least[h, s] = k if old is None else old if k is None else min(old, k)
             hs, ss = zip(*least) if least else ((), ())
@@ -53,13 +57,18 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
     """h, keeper, spread of the lines seen on at least so many sites; within the margin of it the spread is exact."""
     lines = cut(shown(docs, key, text, site), "lines")
     est = F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg("s", F.lit(lg_k))), F.lit(0))
-    # A line with fewer gathered rows than the threshold cannot reach it: no sketch is needed.
-    many = lines.groupBy("h").agg(F.count("s").alias("c"), F.min("k").alias("keeper")).where(F.col("c") >= sites)
-    wide = cut(lines.join(many.select(F.col("h").alias("mh"), "keeper"), F.col("h") == F.col("mh")).groupBy("h", "keeper").agg(est.alias("spread")).where(F.col("spread") >= sites * (1 - margin)), "wide")
+    # Sketches, counts and keepers come from one aggregation, which begins in each task: no row of a common line is dealt.
+    seen = lines.groupBy("h").agg(F.count("s").alias("c"), F.min("k").alias("keeper"), est.alias("spread"))
+    wide = cut(seen.where((F.col("c") >= sites) & (F.col("spread") >= sites * (1 - margin))).select("h", "keeper", "spread"), "wide")
     sure = wide.where(F.col("spread") > sites * (1 + margin))
     near = wide.where(F.col("spread") <= sites * (1 + margin)).select(F.col("h").alias("nh"), "keeper")
-    exact = lines.join(near, F.col("h") == F.col("nh")).select("h", "keeper", "s").distinct().groupBy("h", "keeper").agg(F.count("s").alias("spread")).where(F.col("spread") >= sites)
-    return cut(sure.union(exact), "boilerplate")
+    few = near.count()
+    shows = lines.select("h", "s")
+    if checked(near, few) is near:
+        shows = shows.distinct()  # a line near the threshold then has few rows
+    shows = shows.join(checked(near, few), F.col("h") == F.col("nh")).select("h", "keeper", "s").distinct()
+    exact = shows.groupBy("h", "keeper").agg(F.count("s").alias("spread")).where(F.col("spread") >= sites)
+    return cut(sure.union(exact), "boilerplate", wide.count())
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = 8, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -75,7 +84,7 @@ def clean_text(text: str, key: int | None, keepers: dict[int, int | None]) -> st
     """keepers: for each boilerplate hash the key of the row in which it stays."""
     out, held = [], set()
     for line in text.split("\n"):
-        if word := line.strip():
+        if word := line.strip(BLANKS):
             h = hash_of(word)
             if h in keepers:
                 if h in held or key is None or keepers[h] != key:
@@ -86,12 +95,10 @@ def clean_text(text: str, key: int | None, keepers: dict[int, int | None]) -> st
 
 
 def _by_broadcast(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    rows = found.toPandas()  # at most broadcast_lines rows
-    held = session_of(docs).sparkContext.broadcast((rows["h"].to_numpy(np.int64), [None if v != v else int(v) for v in rows["keeper"]]))
+    held = session_of(docs).sparkContext.broadcast(found.toArrow())  # at most broadcast_lines rows
 
     def run(batches):
-        hashes, keys = held.value
-        keepers = dict(zip(hashes.tolist(), keys))
+        keepers = dict(zip(held.value["h"].to_pylist(), held.value["keeper"].to_pylist()))
         for batch in batches:
             at, k = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(key)).to_pylist()
             new = [clean_text(t, i, keepers) if t else t for i, t in zip(k, batch.column(at).to_pylist())]
@@ -102,12 +109,12 @@ def _by_broadcast(docs: DataFrame, found: DataFrame, key: str, text: str) -> Dat
 
 def _by_join(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """The same where the lines are too many to broadcast: the hits of each text are joined to it."""
-    spark, name = session_of(docs), "_granary_hits"
+    name = "_granary_hits"
     texts = docs.withColumn("_granary_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
     def lines(batches):
         for batch in batches:
-            pairs = {(i, hash_of(w)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for line in t.split("\n") if (w := line.strip())}
+            pairs = {(i, hash_of(w)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for line in t.split("\n") if (w := line.strip(BLANKS))}
             ids, hs = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64())], ["i", "h"])
 
@@ -123,5 +130,4 @@ def _by_join(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFram
             out = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield out.select([f for f in out.schema.names if f != name])
 
-    assert spark is not None
     return joined.mapInArrow(run, docs.schema)
