@@ -5,8 +5,12 @@ operators (source code, key-value files, YAML, JSON, XML elements); constants ar
 concatenations; a literal that reaches a name is scored by how sensitive the name is and how little the literal looks
 like a placeholder, and kept as kind `literal` from a score of 0.5 up.
 
-Null texts count as empty and give no finding; findings of one kind do not overlap; repeated rows give repeated rows; an
-empty table gives an empty one. Positions are code points of the whole text, ends exclusive.
+The time is linear in the text, whatever it assigns: a constant keeps its first VALUE characters and a tree of the places
+it was written at, of which each is told once; a quote that is not closed on its line is no quote on the rest of it.
+
+Null texts count as empty and give no finding; texts are read whole, however long; findings of one kind do not overlap;
+repeated rows give repeated rows; an empty table gives an empty one; columns besides key and text are not read by
+secret_scan and pass unchanged in redact. Positions are code points of the whole text, ends exclusive.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,17 +43,49 @@ KEY_OWNERS = frozenset("api access private secret auth signing encryption master
 MAYBE = re.compile(r"(?i:pass|pwd|secret|token|key|credential|auth|bearer)", re.ASCII)
 HINTS = ("pass", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|your[_-].*|.*example.*|changeme|change[_-]me|placeholder|none|null|true|false|undefined|todo|\$\{.*\}|\$\(.*\)|<.*>|%.*%|\{\{.*\}\})$")
-TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<comment>(?:^|(?<=\s))(?:\#|//).*)"""
-    r"""|(?P<op>===|==|!=|<=|>=|=>|:=|\+=|[=:+,;(){}\[\]<>])|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<other>[^\s=:+,;(){}\[\]<>"'`]+|["'`])""",
-    re.ASCII | re.MULTILINE,
+STRINGS = {'"': r'"(?:[^"\\\n]|\\.)*"', "'": r"'(?:[^'\\\n]|\\.)*'", "`": r"`[^`\n]*`"}
+PLAIN = (
+    r"""(?P<comment>(?:^|(?<=\s))(?:\#|//).*)"""
+    r"""|(?P<op>===|==|!=|<=|>=|=>|:=|\+=|[=:+,;(){}\[\]<>])|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<other>[^\s=:+,;(){}\[\]<>"'`]+|["'`])"""
 )
+#: Characters of a constant that concatenations carry on.
+VALUE = 512
 ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]{6,})</\1>", re.ASCII)
 #: A value without quotes: the source up to a blank, comma, semicolon, closing bracket or line end. Calls and indices are none.
 BARE = re.compile(r"""[^\s,;(){}\[\]<>"'`]+(?=[\s,;)}\]]|$)""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+@lru_cache(maxsize=8)
+def tokens_with(quotes: str) -> re.Pattern:
+    """Tokens of a line where these marks open strings."""
+    strings = "|".join(STRINGS[q] for q in quotes)
+    return re.compile((f"(?P<string>{strings})|" if strings else "") + PLAIN, re.ASCII | re.MULTILINE)
+
+
+def tokens_of(line: str):
+    """Matches of the tokens of a line; a mark that opens no string once opens none after that."""
+    quotes, at = "\"'`", 0
+    while True:
+        closed = True
+        for m in tokens_with(quotes).finditer(line, at):
+            yield m
+            if m[0] in quotes and m.lastgroup == "other":
+                quotes, at, closed = quotes.replace(m[0], ""), m.end(), False
+                break
+        if closed:
+            return
+
+
+class Place:
+    """Where a constant was written: spans, and the places of the constants it is made of; told is set once all have been found."""
+
+    __slots__ = ("spans", "parts", "told")
+
+    def __init__(self, spans: list[tuple[int, int]], parts: list[Place]):
+        self.spans, self.parts, self.told = spans, parts, False
+
+
 def sensitivity(name: str) -> float:
     parts = [p.lower() for p in PARTS.findall(name)]
     best = max((SENSITIVE.get(p, 0) for p in [*parts, *map("".join, zip(parts, parts[1:]))]), default=0)
@@ -84,7 +121,7 @@ class Lexer:
     """Name-literal pairs of one text; constants known so far by name."""
 
     def __init__(self):
-        self.known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        self.known: dict[str, tuple[str, Place]] = {}
         self.found: list[tuple[str, int, int]] = []
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
@@ -95,7 +132,7 @@ class Lexer:
                 at = (text.find("\n", stop.start()) + 1) or len(text) + 1
                 self.line(text[first : at - 1], first)
         for m in ELEMENT.finditer(text):
-            self.pair(m[1], m[2], [(m.start(2), m.end(2))])
+            self.pair(m[1], m[2], Place([(m.start(2), m.end(2))], []))
         found, end = [], 0
         for f in sorted(set(self.found), key=lambda f: (f[1], -f[2])):  # one inside another goes
             if f[2] > end:
@@ -104,7 +141,7 @@ class Lexer:
         return found
 
     def line(self, line: str, first: int) -> None:
-        tokens = [(m.lastgroup, m[0], first + m.start(), first + m.end()) for m in TOKEN.finditer(line) if m.lastgroup != "comment"]
+        tokens = [(m.lastgroup, m[0], first + m.start(), first + m.end()) for m in tokens_of(line) if m.lastgroup != "comment"]
         i = 0
         while i + 2 < len(tokens):
             kind, name, _, _ = tokens[i]
@@ -124,8 +161,8 @@ class Lexer:
             if got:
                 value, where, i = got
                 if op == "+=" and name in self.known:
-                    value, where = self.known[name][0] + value, self.known[name][1] + where
-                self.known[name] = value, where
+                    value, where = self.known[name][0] + value, Place([], [self.known[name][1], where])
+                self.known[name] = value[:VALUE], where
                 self.pair(name, value, where)
             else:
                 i = j
@@ -134,31 +171,40 @@ class Lexer:
                     after = next((k for k in range(j, len(tokens)) if tokens[k][2] >= end), len(tokens))
                     if after == len(tokens) or tokens[after][1] != "+":
                         before = len(self.found)
-                        self.known[name] = bare[0], [(first + bare.start(), end)]
-                        self.pair(name, *self.known[name])
+                        where = Place([(first + bare.start(), end)], [])
+                        self.known[name] = bare[0][:VALUE], where
+                        self.pair(name, bare[0], where)
                         i = after if len(self.found) > before else j  # else assignments inside it are read
 
     def value(self, tokens: list, j: int):
         """What a literal, a known name or a sum of them comes to, where it was written, and the next token."""
-        value, where = "", []
+        values, where = [], Place([], [])
         while j < len(tokens):
             kind, word, a, b = tokens[j]
             if kind == "string" and len(word) >= 2:
-                value += word[1:-1]
-                where = [*where, (a + 1, b - 1)]
+                values.append(word[1:-1])
+                where.spans.append((a + 1, b - 1))
             elif kind == "word" and word in self.known:
-                value += self.known[word][0]
-                where = where + self.known[word][1]
+                value, place = self.known[word]
+                values.append(value)
+                where.parts.append(place)
             else:
                 return None
             if j + 1 >= len(tokens) or tokens[j + 1][1] != "+":
-                return value, where, j + 1
+                return "".join(values), where, j + 1
             j += 2
         return None
 
-    def pair(self, name: str, value: str, where: list[tuple[int, int]]) -> None:
-        if sensitivity(name) * strength(value) >= 0.5:
-            self.found += [("literal", a, b) for a, b in where if b > a]
+    def pair(self, name: str, value: str, where: Place) -> None:
+        if (sensitive := sensitivity(name)) < 0.5 or sensitive * strength(value) < 0.5:
+            return
+        todo = [where]
+        while todo:
+            place = todo.pop()
+            if not place.told:
+                place.told = True
+                self.found += [("literal", a, b) for a, b in place.spans if b > a]
+                todo += place.parts
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
