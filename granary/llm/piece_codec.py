@@ -43,13 +43,10 @@ class Codec:
             if known is not None:
                 ids.append(known)
                 sizes.append(len(s))
-            elif model.bytes:
+            else:
                 data = s.encode()
                 ids += [model.bytes[b] for b in data]
                 sizes += [0] * (len(data) - 1) + [len(s)]
-            else:
-                ids.append(model.unknown)
-                sizes.append(len(s))
         return ids, sizes
 
     def _segment(self, segment: str) -> tuple[list[int], list[int]]:

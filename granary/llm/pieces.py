@@ -7,6 +7,7 @@ import struct
 from heapq import heapify, heappop, heappush
 
 SPACE = "▁"
+# The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -86,7 +87,7 @@ class CharMap:
 
 
 class PieceModel:
-    """Byte-pair piece models with or without byte fallback; others raise ValueError."""
+    """Byte-pair piece models with byte fallback; others raise ValueError."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -110,14 +111,13 @@ class PieceModel:
                 trainer = dict(_fields(value))
             elif number == 3:
                 rules = dict(_fields(value))
-        if trainer.get(3) != 2 or USER in self.kinds or UNUSED in self.kinds or trainer.get(24):
-            raise ValueError("only byte-pair models without user-defined or unused pieces")
+        if trainer.get(3) != 2 or USER in self.kinds or UNUSED in self.kinds or trainer.get(24) or not trainer.get(35):
+            raise ValueError("only byte-pair models with byte fallback and without user-defined or unused pieces")
         self.charmap = CharMap(rules.get(2, b""))
         self.prefix, self.squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
         self.escape = SPACE if rules.get(5, 1) else " "
-        self.unknown = self.kinds.index(UNKNOWN)
         bytes_ = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        self.bytes = [bytes_[b] for b in range(256)] if trainer.get(35) else None
+        self.bytes = [bytes_[b] for b in range(256)]
         #: Characters that stand side by side in some piece: between any others no merge can happen.
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.apart = not any(p[1] == SPACE != p[0] for p in self.pairs)  # a blank begins a segment of its own

@@ -31,9 +31,7 @@ class Counter:
     def _part(self, part: str) -> int:
         symbols, merges = self.model.merge(part)
         known, count = self.model.ids, len(part) - merges
-        if self.model.bytes:
-            count += sum(len(s.encode()) - 1 for s in symbols if s not in known)
-        return count
+        return count + sum(len(s.encode()) - 1 for s in symbols if s not in known)
 
     def _segment(self, segment: str) -> int:
         return sum(map(self.part.__getitem__, self.model.parts(segment)))
