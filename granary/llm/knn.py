@@ -1,11 +1,15 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Vectors become integers, floor(scale * x). A fixed number of pivots, the vectors with the least hashes of their keys,
-cut the space into cells. One pass assigns every vector to its nearest pivot; summaries of the cells give, for the
-queries of each cell, their number, their greatest distance to the pivot and a lower bound of every query's k-th best
-score (pivots are themselves candidates). Groups of queries are packed from cells, large cells split by key. A
-candidate x goes to a group only if for one of the group's cells, with pivot p and radius R, the bound
-<p, x> + R |x| reaches that cell's lower bound; all others cannot be in any answer there. Each block of a group's
+Vectors become integers, floor(scale * x). Pivots, the vectors with the least hashes of their keys, about as many as the
+root of the number of vectors between 64 and `most_pivots`, cut the space into cells. One pass assigns every vector to its
+nearest pivot; it also finds for each query a lower bound of its k-th best score, from SEEDS vectors of the table that
+are broadcast (a fixed number; only how much is pruned depends on it). Summaries of the cells give the number, the
+greatest length and the greatest distance to the pivot of all vectors there, and of the queries there the greatest
+distance and the least bound. Groups of queries are packed from cells, large cells split by key.
+
+From the summaries alone follows which cells a group needs: with pivot p and radius R of the group's queries and pivot c,
+radius r and length m of the cell, no score there is above <p, c> + |p| r + R m. Queries go to blocks of needed cells
+only, and of these a candidate x goes to a group only if <p, x> + R |x| reaches the group's bound. Each block of a group's
 candidates is searched with one matrix product, and the best of the blocks give the answer.
 
 Vectors that are null or hold a null, NaN or infinite component take no part; shorter vectors count as filled up with
@@ -16,6 +20,8 @@ An empty table gives an empty one; columns besides key and vector are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import cut, session_of, small_batches
 
 
+#: Vectors from which lower bounds of scores are found.
+SEEDS = 2_048
+
+
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """k and v (array of bigint) of the rows that take part."""
     own = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("x"))
@@ -68,65 +78,89 @@ def best(scores: np.ndarray, keys: np.ndarray, own: np.ndarray, k: int):
         yield row, others[np.argsort(-line[others], kind="stable")[:k]]
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, key: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = 64, group_queries: int = 2_048, block_rows: int = 20_000) -> DataFrame:
+def packed(sizes: dict[int, int], most: int) -> dict[int, list[int]]:
+    """For each cell the bins it is dealt to: cells in order share a bin up to `most`, larger ones have several of their own."""
+    bins: dict[int, list[int]] = {}
+    made = room = 0
+    for cell, n in sorted(sizes.items()):
+        if n > most:
+            parts = -(-n // most)
+            bins[cell] = list(range(made, made + parts))
+            made, room = made + parts, 0
+        else:
+            if n > room:
+                made, room = made + 1, most
+            bins[cell] = [made - 1]
+            room -= n
+    return bins
+
+
+def chosen(vectors: DataFrame, n: int) -> tuple[list[int], list[list[int]]]:
+    """Keys and vectors of the n rows with the least hashes."""
+    rows = vectors.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "v").limit(n).collect()  # at most n rows
+    return [r["k"] for r in rows], [r["v"] for r in rows]
+
+
+def filled(rows: list[list[int]], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.int64)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, key: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int | None = None, most_pivots: int = 512, group_queries: int = 2_048, block_rows: int = 20_000) -> DataFrame:
     """query_id, rank, key and score: for each row whose key is divisible by query_step its k best among all other rows."""
     spark = session_of(vectors)
     small_batches(spark, 4_096)
     all_ = quantised(vectors, key, vector, scale)
-    chosen = all_.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "v").limit(pivots).collect()  # at most `pivots` rows
     schema = f"query_id bigint, rank int, `{key}` bigint, score bigint"
-    if not chosen:
+    total, width = all_.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not total:
         return spark.createDataFrame([], schema)
-    width = all_.agg(F.max(F.size("v"))).first()[0]
-    p = np.zeros((len(chosen), width), np.int64)
-    for i, row in enumerate(chosen):
-        p[i, : len(row["v"])] = row["v"]
-    pivot_keys = np.array([row["k"] for row in chosen])
-    held = spark.sparkContext.broadcast((p, pivot_keys))
+    seed_keys, seeds = chosen(all_, SEEDS)
+    n_pivots = pivots or min(most_pivots, max(64, math.isqrt(total)))
+    seed_keys, seeds = np.array(seed_keys), filled(seeds, width)
+    p = seeds[:n_pivots]
+    held = spark.sparkContext.broadcast((p, seed_keys, seeds))
 
     def assign(batches):
-        p, pivot_keys = held.value
+        p, seed_keys, seeds = held.value
         squares = (p.astype(float) ** 2).sum(1)
         for batch in batches:
             keys, x = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            dots = _products(x, p)
-            far = (x.astype(float) ** 2).sum(1)[:, None] + squares - 2.0 * dots
+            own = (x.astype(float) ** 2).sum(1)
+            far = own[:, None] + squares - 2.0 * _products(x, p)
             cell = far.argmin(1) if len(x) else np.zeros(0, int)
-            # The k-th best score among the pivots, the row's own one left out, is a lower bound of its k-th best score.
+            # The k-th best score among the seeds, the row's own left out, is a lower bound of its k-th best score.
             bound = np.full(len(x), np.iinfo(np.int64).min)
-            if len(p) > k:
-                others = np.where(pivot_keys == keys[:, None], np.iinfo(np.int64).min, dots)
-                bound = np.sort(others, axis=1)[:, -k] if len(x) else bound
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(np.sqrt(np.maximum(far[np.arange(len(x)), cell], 0)), pa.float64()), pa.array(bound, pa.int64())], ["k", "v", "cell", "far", "bound"])
-
-    assigned = cut(all_.mapInArrow(assign, "k bigint, v array<bigint>, cell int, far double, bound bigint"), "cells")
+            asked = np.flatnonzero(keys % query_step == 0)
+            for at in range(0, len(asked), 256):
+                some = asked[at : at + 256]
+                dots = np.where(seed_keys == keys[some][:, None], np.iinfo(np.int64).min, _products(x[some], seeds))
+                if len(seeds) >= k:
+                    bound[some] = np.partition(dots, -k, axis=1)[:, -k]
+            near = np.sqrt(np.maximum(far[np.arange(len(x)), cell], 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(near, pa.float64()), pa.array(np.sqrt(own), pa.float64()), pa.array(bound, pa.int64())], ["k", "v", "cell", "far", "length", "bound"])
+
+    assigned = cut(all_.mapInArrow(assign, "k bigint, v array<bigint>, cell int, far double, length double, bound bigint"), "cells")
     is_query = F.pmod("k", F.lit(query_step)) == 0
-    cells = {r["cell"]: r for r in assigned.where(is_query).groupBy("cell").agg(F.count("k").alias("n"), F.max("far").alias("radius"), F.min("bound").alias("bound")).collect()}
-    # Groups of at most about group_queries queries: small cells together, in order; large cells in parts.
-    groups: list[list[int]] = []
-    split: dict[int, list[int]] = {}
-    room = 0
-    for cell in sorted(cells):
-        n = cells[cell]["n"]
-        if n > group_queries:
-            split[cell] = list(range(len(groups), len(groups) + -(-n // group_queries)))
-            groups += [[cell] for _ in split[cell]]
-            room = 0
-        else:
-            if n > room:
-                groups.append([])
-                room = group_queries
-            groups[-1].append(cell)
-            room -= n
-            split[cell] = [len(groups) - 1]
+    asks = lambda c: F.when(is_query, F.col(c))
+    summary = assigned.groupBy("cell").agg(F.count("k").alias("n"), F.max("far").alias("far"), F.max("length").alias("length"), F.count(asks("k")).alias("queries"), F.max(asks("far")).alias("radius"), F.min(asks("bound")).alias("bound"))
+    cells = {r["cell"]: r for r in sorted(summary.collect())}  # at most one row a pivot
+    # Groups of at most about group_queries queries, and blocks of about block_rows candidates: small cells together, in order; large cells in parts.
+    groups = packed({c: r["queries"] for c, r in cells.items() if r["queries"]}, group_queries)
     if not groups:
         return spark.createDataFrame([], schema)
-    blocks = max(1, -(-assigned.count() // block_rows))
-    used = np.array(sorted(cells))
+    blocks = packed({c: r["n"] for c, r in cells.items()}, block_rows)
+    used, every = np.array(sorted(groups)), np.array(sorted(cells))
     radius, bound = (np.array([float(cells[c][f]) for c in used.tolist()]) for f in ("radius", "bound"))
-    member = np.zeros((len(used), len(groups)), bool)
+    far, length = (np.array([cells[c][f] for c in every.tolist()]) for f in ("far", "length"))
+    lengths = np.sqrt((p.astype(float) ** 2).sum(1))
+    highest = _products(p[used], p[every]) + (lengths[used][:, None] * far + radius[:, None] * length) * (1 + 1e-9) + 1
+    member = np.zeros((len(used), max(map(max, groups.values())) + 1), bool)
     for i, cell in enumerate(used.tolist()):
-        member[i, split[cell]] = True
+        member[i, groups[cell]] = True
+    needs = ((highest >= bound[:, None]).T.astype(np.float32) @ member.astype(np.float32)) > 0  # by cell and group
     reach = spark.sparkContext.broadcast((used, radius, bound, member))
 
     def replicate(batches):
@@ -134,17 +168,21 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, key: str = "vec_
         p = held.value[0]
         used, radius, bound, member = reach.value
         for batch in batches:
-            x = _matrix(batch.column(1), width)
+            x, cell = _matrix(batch.column(1), width), batch.column(2)
             norms = np.sqrt((x.astype(float) ** 2).sum(1))
             may = _products(x, p[used]) + norms[:, None] * radius * (1 + 1e-9) + 1 >= bound
             rows, to = np.nonzero((may.astype(np.float32) @ member.astype(np.float32)) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(to, pa.int32())], ["k", "v", "grp"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in (batch.column(0), batch.column(1), cell)), pa.array(to, pa.int32())], ["k", "v", "cell", "grp"])
 
-    spread = assigned.select("k", "v").mapInArrow(replicate, "k bigint, v array<bigint>, grp int").withColumn("block", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int"))
-    table = spark.createDataFrame([(c, gs) for c, gs in split.items()], "cell int, grps array<int>")  # at most `pivots` rows
+    dealt = F.broadcast(spark.createDataFrame([(c, bs) for c, bs in blocks.items()], "cell int, blocks array<int>"))  # at most one row a pivot
+    spread = assigned.select("k", "v", "cell").mapInArrow(replicate, "k bigint, v array<bigint>, cell int, grp int")
+    spread = spread.join(dealt, "cell").select("k", "v", "grp", F.expr("blocks[cast(pmod(xxhash64(k, v), size(blocks)) as int)]").alias("block"))
+    table = spark.createDataFrame([(c, gs) for c, gs in groups.items()], "cell int, grps array<int>")  # at most one row a pivot
     asked = assigned.where(is_query).join(F.broadcast(table), "cell")
     asked = asked.withColumn("grp", F.expr("grps[cast(pmod(xxhash64(k), size(grps)) as int)]")).groupBy("grp", "k").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    wanted = spark.createDataFrame([(int(c), np.flatnonzero(n).tolist()) for c, n in zip(every, needs)], "cell int, grps array<int>")
+    wanted = wanted.join(dealt, "cell").select(F.explode("grps").alias("grp"), "blocks").select("grp", F.explode("blocks").alias("block")).distinct()
+    asked = asked.join(wanted, "grp")
 
     def solve(queries, data):
         out: list[list] = [[], [], []]
