@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from datetime import date, datetime
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -456,6 +457,12 @@ class Frame:
 
     __iter__ = iter_rows
 
+    def iter_batches(self, rows: int = 4_096) -> Iterator[list[dict]]:
+        """Rows by lists of at most so many, the next partition fetched meanwhile."""
+        found = self.iter_rows()
+        while batch := list(islice(found, rows)):
+            yield batch
+
     def print_rows(self, n: int = 10, width: int = 30) -> None:
         self._rows().show(n, width)
 
