@@ -109,6 +109,7 @@ def test_language(spark, docs, empty):
             value, paths = np.array([value[i] - model.penalty * (i != j) for j, i in enumerate(came)]) + scores[t], [paths[i] + [j] for j, i in enumerate(came)]
         total = lambda p: sum(scores[t][j] for t, j in enumerate(p)) - model.penalty * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
         assert total(labels.tolist()) == pytest.approx(total(paths[int(value.argmax())]))
+        assert scorer._recurrence(scores).tolist() == scorer._recurrence_of_few(scores.tolist()).tolist()
     got = {r["doc_id"]: r for r in lang_id.predict(docs, model).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 3))
     assert all(0 <= r["score"] <= 1 for r in got.values())
@@ -375,7 +376,7 @@ def test_archives(spark):
     big, other = "é" * 30_000, "line\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "u", big), (2, "u b", big), (3, None, None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (7, "u", other), (8, "u", other), (8, "u", other), (None, "u", big)]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id bigint, url string, html string, head int, origin string")
-    got = Counter(tuple(r) for r in warc.round_trip(pages, rows=3).collect())
+    got = Counter(tuple(r) for r in warc.round_trip(pages, archive=100_000).collect())
     want = Counter()
     for k, _, html in rows:
         data = (html or "").encode()
@@ -422,3 +423,236 @@ def test_lines(spark, docs, empty):
         assert got.columns == frame.columns
         assert Counter(map(tuple, got.collect())) == Counter(want)
     assert line_dedup.cleaned(docs).count() == docs.count() and line_dedup.cleaned(empty).count() == 0
+
+
+# Odd and hostile input
+
+
+@pytest.fixture(scope="module")
+def with_map(tmp_path_factory):
+    """The piece model with a character map, blanks squeezed, and the library for it."""
+    import sentencepiece
+
+    from granary.llm.pieces import _fields
+
+    def field(number, value):
+        size, out = len(value), bytes([number << 3 | 2])
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return out + bytes([size]) + value
+
+    rules = next(v for n, v in _fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if n == 3)
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        fields = list(_fields(f.read()))
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(b"".join(field(n, rules if n == 3 else v) for n, v in fields))
+    return str(path), sentencepiece.SentencePieceProcessor(model_file=str(path)), fields, field
+
+
+def test_pieces_through_a_character_map(with_map):
+    path, library, _, _ = with_map
+    codec, counter = piece_codec.codec_of(path), token_counts.counter_of(path)
+    assert not codec.model.plain
+    for text in ["ﬁ Ⅷ x", "ｶﾞ１２３ ab", "  two  blanks ", "plain text", "é ①", "", " ", "a\tb\n c"]:
+        ids, spans = codec.encode(text)
+        assert ids == library.encode(text) and counter.count(text) == len(ids)
+        assert all(0 <= a <= b <= len(text.encode()) for a, b in spans) and spans == sorted(spans)
+    ids, spans = codec.encode("ﬁ x")
+    assert [bytes("ﬁ x", "utf-8")[a:b] for a, b in spans][-1].strip() == b"x"
+
+
+def test_models_without_byte_fallback_are_refused(with_map, tmp_path):
+    from granary.llm.pieces import PieceModel
+
+    _, _, fields, field = with_map
+    (tmp_path / "m").write_bytes(b"".join(field(n, b"\x18\x02" if n == 2 else v) for n, v in fields))
+    with pytest.raises(ValueError, match="fallback"):
+        PieceModel(str(tmp_path / "m"))
+
+
+@given(st.text(alphabet=st.sampled_from("abcthe12 \n'.,-=_sé日½²ß‘"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_packing_encodes_as_the_library(text):
+    from tokenizers import Tokenizer
+
+    encoder = packing.encoder_of(tokenizer("byte_bpe_50k.json"))
+    assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_and_rows_without_key_are_spread(spark):
+    rows = spark.range(10_000).selectExpr("cast(null as bigint) doc_id", "'same text' text", "'s' source").union(spark.range(10_000).selectExpr("7L", "'same text'", "'s'")).repartition(8)
+    tokens = packing.tokenised(rows, tokenizer("byte_bpe_50k.json"))
+    sizes = [r["n"] for r in tokens.groupBy(packing.shard_of(30)).agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) == 30 and max(sizes) < 1.3 * sum(sizes) / 30
+
+
+def test_what_sources_are_owed_across_shards(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(j), f"s{rng.integers(0, 3)}", int(rng.integers(1, 50))) for j in rng.integers(0, 3000, 4000)]
+    total = sum(n for *_, n in rows)
+    for targets in (None, {"s0": 0.7, "s1": 0.3}):
+        got = {(r["shard"], r["s"]): (r["share"], r["owed"]) for r in packing.carried(spark.createDataFrame(rows, "shard int, s string, n bigint"), total, targets).collect()}
+        share = {s: (targets.get(s, 0) if targets else sum(n for _, x, n in rows if x == s) / total) for s in ("s0", "s1", "s2")}
+        sofar, given = 0, Counter()
+        by = defaultdict(Counter)
+        for j, s, n in rows:
+            by[j][s] += n
+        for j in sorted(by):
+            for s in by[j]:
+                assert got[j, s] == pytest.approx((share[s], share[s] * sofar - given[s]))
+            sofar += by[j].total()
+            given.update(by[j])
+        assert len(got) == sum(map(len, by.values()))
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and this", "en"), ("der hund und die", "de")] * 9 + [("den katten som ikke er", "da")])]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_grams=14)
+    assert model.langs == ["da", "de", "en"]  # a small language keeps its own share of the counts
+    scorer = model.scorer()
+    assert [scorer.predict(t)[:2] for t in ("½ ² ①", "12 _", "", None)] == [("und", 0.0)] * 4 and scorer.spans("½ ²") == []
+    assert scorer.predict("½ the cat")[0] == "en"
+
+
+def test_scripts_narrow_the_candidates(spark):
+    words = {"en": "the cat and this thing with that", "ru": "это русский текст про кошку"}
+    rows = [(i, t, l) for i, (l, t) in enumerate(list(words.items()) * 5)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert [s[2] for s in model.scorer().spans("the cat and кошку this thing")] == ["en", "ru", "en"]
+    assert lang_id.script_of("aкошку") == "cyrillic" and lang_id.script_of("日本語テ") == "han" and lang_id.script_of("ǂ") == "latin"
+
+
+def test_word_scores_against_brute_force(spark):
+    import math
+
+    texts = {"en": "the cat and this thing with that", "de": "der hund und die katze nicht"}
+    model = lang_id.fit(spark.createDataFrame([(1, texts["en"], "en"), (2, texts["de"], "de")], "doc_id bigint, text string, lang string"))
+    grams = {l: Counter(f"^{w}$"[i : i + 3] for w in t.split() for i in range(len(w))) for l, t in texts.items()}
+    assert [dict(g) for g in model.grams] == [grams["de"], grams["en"]]
+    for word in ("the", "hund", "xyz", "thatze", "d"):
+        logs = []
+        for l in ("de", "en"):
+            starts = Counter()
+            for g, n in grams[l].items():
+                starts[g[:2]] += n
+            w = f"^{word}$"
+            logs.append(sum(math.log((grams[l][w[i : i + 3]] + 0.5) / (starts[w[i : i + 2]] + 30)) for i in range(len(word))))
+        want = [max(x - max(logs), lang_id.FLOOR) for x in logs]
+        assert model.scorer().scores(word) == pytest.approx(want, abs=1e-5)
+
+
+def test_constants_are_followed_in_linear_time():
+    import time
+
+    began = time.process_time()
+    assert secret_scan.scan("x='ab12cd'\n" + "x = x + x\n" * 5000 + "password = x")[1] == [("literal", 3, 9)]
+    text = "password = 'a8c9d0'\n" + "password = password + 'b7x1z9q'\n" * 3000
+    assert sum(k == "literal" for k, _, _ in secret_scan.scan(text)[1]) == 3001
+    assert secret_scan.scan('password = ' + '\\"' * 100_000 + "'" * 99_999)[1] == []
+    assert time.process_time() - began < 20
+
+
+@given(st.lists(st.sampled_from(["x", "y", "password", " = ", "+", "'a1b2c3'", '"', "'", "\\", "`", "\n", "é", "# ", ": "]), max_size=40).map("".join))
+@settings(max_examples=300, deadline=500)
+def test_lexing_ends(text):
+    found, every = secret_scan.scan(text)
+    assert set(found) <= set(every) and all(0 <= a < b <= len(text) for _, a, b in every)
+
+
+def test_keepers_beyond_floats(spark):
+    rows = [(2**53 + 1 + i, "common line\nown %d" % i, f"s{i}") for i in range(9)] + [(None, "only nulls\ncommon line", f"s{i}") for i in range(9)]
+    rows += [(5, "\u00a0common line", "s1"), (2**53 + 1, "common line\nown 0", "s0")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = Counter((k, "\n".join(x for x in t.split("\n") if x not in ("common line", "only nulls") or (x == "common line" and k == 2**53 + 1))) for k, t, _ in rows)
+    for most in (1_000_000, 0):
+        assert Counter((r["doc_id"], r["text"]) for r in line_dedup.cleaned(frame, broadcast_lines=most).collect()) == want
+
+
+def test_large_groups_of_copies(spark):
+    rng = np.random.default_rng(6)
+    base, other = _words(rng, 60), _words(rng, 60)
+    near = [" ".join([*base[:-1], f"end{i}"]) for i in range(1500)]
+    rows = [(i, t) for i, t in enumerate([" ".join(base)] * 1500 + near + [" ".join(other)] * 10)] + [(None, " ".join(other))] * 1500
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = Counter((r["class_id"]) for r in near_dup.classes(frame).collect())
+    assert got == {0: 3000, 3000: 1510}
+    assert sorted(r["doc_id"] for r in near_dup.deduplicated(frame).collect()) == [0, 3000]
+
+
+def test_fingerprints_against_brute_force(spark):
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(_words(rng, 40)) + " Common, (words)") for i in range(60)] + [(60, None), (61, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    strip = lambda w: w.strip(imatch.MARKS)
+    sets = {k: {strip(w) for w in (t or "").lower().split()} - {""} for k, t in rows}
+    df = Counter(w for s in sets.values() for w in s)
+    words = sorted(w for w, n in df.items() if max(2, 0.01 * len(rows)) <= n <= max(2, 0.5 * len(rows)))
+    assert imatch.lexicon(frame, least_share=0.01, most_share=0.5) == words
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(frame, words).collect()}
+    code = {w: xxhash.xxh64_intdigest(w) for w in words}
+    for k, t in rows:
+        found = sorted(sets[k] & code.keys())
+        if not found:
+            want = hashlib.sha1(" ".join(sorted(sets[k])).encode() if sets[k] else b"\0" + (t or "").encode()).hexdigest()
+        else:
+            want = ""
+            for slot in range(imatch.SLOTS):
+                limit = 2.0 ** (64 - imatch.HALVINGS[slot % len(imatch.HALVINGS)])
+                kept = [code[w] for w in found if int(imatch._mixed(np.array([code[w]], np.uint64), slot + 1)[0]) < limit]
+                want += f"{xxhash.xxh32_intdigest(b''.join(c.to_bytes(8, 'little') for c in kept)):08x}" if kept else imatch.EMPTY
+        assert got[k] == want
+    report = {r["doc_id"]: r for r in imatch.edit_report(frame, least_share=0.01, most_share=0.5, part_rows=7).collect()}
+    assert all(report[k]["fingerprint"] == got[k] for k, _ in rows)
+    likeness = lambda a, b: 1.0 if a == b else 0.0 if len(a) != len(b) else (lambda p: sum(x == y for x, y in p) / len(p))([(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8) if (a[i : i + 8], b[i : i + 8]) != (imatch.EMPTY,) * 2])
+    assert all(report[k]["near_next"] == likeness(got[k], got[k - 1 if k else 61]) for k, _ in rows)
+
+
+def test_rows_of_one_key_are_dealt_to_several_ranges(spark):
+    frame = spark.range(4000).selectExpr("if(id % 3 = 0, null, 5L) doc_id", "concat('text ', md5(cast(id as string))) text")
+    rows, parts = imatch.in_order(frame, "doc_id", "text", 100)
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert parts > 30 and max(sizes) < 400
+    assert imatch.edit_report(frame, part_rows=100).count() == 4000
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id page_id", "'u' url", "repeat(md5(cast(id as string)), 200) html").coalesce(2)
+    warc.write_archives(pages, str(tmp_path / "w"), archive=200_000)
+    files = list((tmp_path / "w").glob("*.gz"))
+    import gzip
+
+    assert len(files) > 8 and all(len(gzip.decompress(f.read_bytes())) < 220_000 for f in files)
+    got = warc.read_archives(spark, str(tmp_path / "w"))
+    assert got.count() == 300 and got.where("payload_bytes = 6400 and record_type = 'response'").count() == 300
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from granary.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 4, (24, 16))
+    rows = [(i, (centres[i % 24] + rng.normal(0, 0.02, 16)).tolist()) for i in range(4800)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    fit = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    got = defaultdict(list)
+    for r in knn.top_k(frame, pivots=64, group_queries=8, block_rows=300).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 4800, 50):
+        scores = fit @ fit[i]
+        want = sorted((-int(s), j) for j, s in enumerate(scores) if j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert len(got) == 96
+
+
+def test_bins():
+    assert knn.packed({3: 10, 1: 50, 2: 250, 5: 90}, 100) == {1: [0], 2: [1, 2, 3], 3: [4], 5: [4]}

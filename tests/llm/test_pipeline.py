@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from granary.llm import lang_id, line_dedup, near_dup, packing, secret_scan
+from granary.llm.common import cut
 from granary.llm.queries import held_out, oracle_sql, queries, tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +58,40 @@ def test_pipeline_against_plain_python(spark):
     for r in corpus_pipeline.run(spark, DATA).collect():
         got[r["doc_id"]] += r["length"]
     assert got == want
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, node string, k int, b int, cell int, shard int"
+
+
+def _stages(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.schema
+        docs = cut(stage(spark, docs, None), name)
+        if name != "packing":
+            assert docs.schema == before
+            yield name, {(r["doc_id"], r["text"]) for r in docs.collect()}, docs
+    yield "packing", docs.collect(), docs
+
+
+def test_pipeline_on_odd_rows(spark):
+    rng = np.random.default_rng(2)
+    en, de = "the cat and this thing with that whole other of it was".split(), "der hund und die katze nicht schön über ein das ist".split()
+    text = lambda words, n=60: " ".join(rng.choice(words, n))
+    rows = [(i, text(en if i % 2 else de) + "\nshown everywhere with that", "en" if i % 2 else "de", f"s{i % 10}") for i in range(60)]
+    copy = text(en, 200)
+    rows += [(100, copy, "en", "s1"), (101, copy + " it", None, None), (100, copy, "en", "s1"), (None, copy, None, "s1")]
+    rows += [(None, "api_key = Zx81kkLq99a0 the cat and this thing", "en", None), (200, None, "en", "s2"), (201, "", "de", "s2"), (202, "½ ² 12", None, "s3"), (203, "это русский текст про кошку", None, "s4")]
+    docs = spark.createDataFrame([(k, t, l, s, len(t or ""), "x", 1, 2, 3, 4) for k, t, l, s in rows], SCHEMA)
+    after = dict((name, found) for name, found, _ in _stages(spark, docs))
+    kept = {k for k, _ in after["language_id"]}
+    assert kept == {*range(60), 100, 101, None}
+    assert [k for k, t in after["line_dedup"] if "everywhere" in t] == [0] and len(after["line_dedup"]) == len(after["language_id"])
+    assert {k for k, t in after["near_dup"] if t.startswith(copy)} == {100} and kept - {101} == {k for k, _ in after["near_dup"]}
+    assert {t for k, t in after["secret_scan"] if k is None} == {"[SECRET] the cat and this thing"}
+    ends = {r["doc_id"] for r in after["packing"] if r["start"] + r["length"] == r["doc_tokens"]}
+    assert ends == kept - {101}
+
+
+def test_pipeline_on_an_empty_table(spark):
+    for _, found, _ in _stages(spark, spark.createDataFrame([], SCHEMA)):
+        assert not found
