@@ -35,8 +35,8 @@ from .common import Cache, checked, cut, remove, session_of, small_batches
 WORD = re.compile(r"\w+")
 SLOTS, ROWS = 120, 5
 #: Members of a hub, or of a block of a bucket, that one task holds.
-HUB_ROWS, HUB_SHINGLES = 512, 1_000_000
-_codes = Cache(lambda word: xxhash.xxh64_intdigest(word))
+HUB_ROWS, HUB_SHINGLES = 256, 500_000
+_codes = Cache(lambda word: xxhash.xxh64_intdigest(word), most=200_000)
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -270,9 +270,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("id", "hub").union(edges.select("hub", "id")), "edges", n)
     roots = cut(both.groupBy("id").agg(F.min("hub").alias("m")).select("id", F.least("id", "m").alias("root")), "roots", n)
     while True:
-        told = both.join(roots.select(F.col("id").alias("hub"), "root"), "hub").groupBy("id").agg(F.min("root").alias("m"))
+        # A centre with many links, or the root of many, is one key here: few roots are broadcast, else skewed joins are split.
+        told = both.join(checked(roots.select(F.col("id").alias("hub"), "root"), n), "hub").groupBy("id").agg(F.min("root").alias("m"))
         near = roots.join(told, "id").select("id", "root", F.least("root", "m").alias("new"))
-        jumped = near.join(roots.select(F.col("id").alias("new"), F.col("root").alias("far")), "new").select("id", "root", F.least("new", "far").alias("new"))
+        jumped = near.join(checked(roots.select(F.col("id").alias("new"), F.col("root").alias("far")), n), "new").select("id", "root", F.least("new", "far").alias("new"))
         done = cut(jumped, "roots", n)
         remove(roots)
         changed = not done.where(F.col("new") != F.col("root")).isEmpty()
