@@ -211,7 +211,7 @@ def carried(dealt: DataFrame, total: int, targets: dict[str, float] | None = Non
     return given.join(by_source, "s").join(before(counts, [], "n"), "shard").select("shard", "s", "share", (F.col("share") * F.col("sofar") - F.col("given")).alias("owed"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 1024, window_sequences: int = 64, shard_tokens: int = 4_000_000, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 1024, window_sequences: int = 64, shard_tokens: int = 1_000_000, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece (and ids, if asked for)."""
     tokens = cut(tokenised(docs, tokenizer_path, key, text, source), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
