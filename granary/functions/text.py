@@ -1,63 +1,68 @@
-"""Text, map and vector functions as built-in expressions."""
+"""Text, map and vector functions as built-in expressions, but for counts of words and runs."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import DICT, LIST, STRING, VECTOR
 
 
-def _bound(c: Column, f) -> Column:
-    """f of a column that is computed once and not again for each item of an inner lambda."""
-    return F.transform(F.array(c), f)[0]
-
-
-def _counted(items: Column) -> Column:
-    """How often each item occurs, as a map in order of first appearance: equal items stand together once sorted."""
-
-    def runs(s):
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[F.greatest(i - 1, F.lit(0))]["x"] != s[i]["x"]))
-        return _bound(F.when(F.size(s) > 0, first).otherwise(F.array().cast("array<int>")), lambda at: F.array_sort(F.transform(at, lambda i, j: F.struct(s[i]["i"].alias("i"), s[i]["x"].alias("x"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("n")))))
-
-    found = _bound(F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), runs)
-    return F.when(items.isNotNull(), F.map_from_entries(F.transform(found, lambda r: F.struct(r["x"], r["n"]))))
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+").findall
+_TRIM = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_COUNTS = T.MapType(T.StringType(), T.LongType())
 
 
 def _lower(c: Column, lower: bool) -> Column:
     return F.lower(c) if lower else c
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+def _counted(c: Column, items: Callable[[str], Iterable[str]]) -> Column:
+    """How often each item of a text occurs, as a map in order of first appearance. In Arrow batches: no built-in function counts the items of one row without sorting them, which took three times as long."""
 
+    @F.arrow_udf(_COUNTS)
+    def counts(texts: pa.Array) -> pa.Array:
+        starts, keys, numbers = [], [], []
+        for text in texts.to_pylist():
+            starts.append(None if text is None else len(keys))
+            if text:
+                found = Counter(items(text))
+                keys.extend(found)
+                numbers.extend(found.values())
+        return pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), pa.array(keys, pa.string()), pa.array(numbers, pa.int64()))
 
-def bag_of_words(c: Column, lower: bool = True) -> Column:
-    """Words between blanks, without what is not letter or digit at their ends, and their counts."""
-    trimmed = F.transform(words(_lower(c, lower)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return _bound(F.filter(trimmed, lambda w: w != ""), _counted)
+    return counts(c)
 
 
-def _grams(items: Column, n: int, between: str) -> Column:
-    """Runs of n items; none where there are fewer."""
-
-    def runs(w):
-        found = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), between))
-        return F.when(F.size(w) >= n, found).otherwise(F.when(w.isNotNull(), F.array().cast("array<string>")))
-
-    return _bound(items, runs)
+def bag_of_words(c: Column, lower: bool = True) -> Column:
+    """Words between blanks, without what is not letter or digit at their ends, and their counts."""
+    return _counted(_lower(c, lower), lambda text: [w for x in _WORDS(text) if (w := x if x.isalnum() else _TRIM.sub("", x))])
 
 
 def word_ngrams(c: Column, n: int = 2, lower: bool = True) -> Column:
+    """Runs of n words and their counts; none where there are fewer."""
     if n < 1:
         raise ValueError("n must be positive")
-    return _bound(_grams(words(_lower(c, lower)), n, " "), _counted)
+
+    def runs(text: str) -> Iterable[str]:
+        words = _WORDS(text)
+        return map(" ".join, zip(*[words[i:] for i in range(n)]))
+
+    return _counted(_lower(c, lower), runs)
 
 
 def char_ngrams(c: Column, n: int = 2, lower: bool = True) -> Column:
+    """Runs of n characters and their counts; none where there are fewer."""
     if n < 1:
         raise ValueError("n must be positive")
-    return _bound(_grams(F.split(_lower(c, lower), ""), n, ""), _counted)
+    return _counted(_lower(c, lower), lambda text: [text[i : i + n] for i in range(len(text) - n + 1)])
 
 
 def contains(c: Column, part: str) -> Column:
