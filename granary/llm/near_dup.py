@@ -318,7 +318,8 @@ def grouped(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     more = cut(compared(left, sets, similarity), "links")
     remove(left, sets, wanted, members)
     # The links found last connect classes found first.
-    first, second = (roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in ("id", "hub"))
+    few = roots.count()
+    first, second = (checked(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), few) for c in ("id", "hub"))
     between = more.join(first, "id", "left").join(second, "hub", "left").select(F.coalesce("id_root", "id").alias("id"), F.coalesce("hub_root", "hub").alias("hub")).where("id <> hub").distinct()
     between = cut(between, "between", more.count())
     if between.isEmpty():
