@@ -171,11 +171,11 @@ def multisets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, h binary, w binary, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (id, hub) whose multisets are similar. sets: id, h, w, one row each."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """The pairs (id, hub), at most so many, whose multisets are similar. sets: id, h, w, one row each."""
     small_batches(session_of(pairs), 256)
     large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_ROWS).select(F.col("hub").alias("lh"), F.ceil(F.col("n") / HUB_ROWS).alias("parts"))
-    dealt = pairs.join(large, F.col("hub") == F.col("lh"), "left").select("id", "hub", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    dealt = pairs.join(checked(large, most // HUB_ROWS), F.col("hub") == F.col("lh"), "left").select("id", "hub", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
     members = dealt.join(sets, "id").select("hub", "part", F.col("id").alias("other"), "h", "w")
     hubs = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", "part", F.lit(None).cast("bigint").alias("other"), "h", "w")
 
@@ -304,7 +304,7 @@ def grouped(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
         own = own.groupBy("node").agg(F.first("text").alias("text"))  # copies meet within each task before they are dealt
     texts = own.join(checked(wanted.select("id", "node"), few), "node").groupBy("id").agg(F.first("text").alias("text")).join(wanted.select("id", "bands"), "id")
     sets = cut(multisets(texts.select("id", "text", "bands")), "multisets")
-    stars = cut(verified(members.where(F.col("id") != F.col("hub")).select("id", "hub").distinct(), sets.select("id", "h", "w"), similarity), "links")
+    stars = cut(verified(members.where(F.col("id") != F.col("hub")).select("id", "hub").distinct(), sets.select("id", "h", "w"), similarity, members.count()), "links")
     roots = components(stars)
     # What is still to be compared: of any two unconnected members of a bucket one is outside its largest part, and
     # the hub has been compared to all.
