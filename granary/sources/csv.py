@@ -2,10 +2,11 @@
 
 Files are read in splits, and quoted fields may hold line ends. A first pass finds for each split whether it ends inside a
 quoted field, if it begins outside or inside of one; from that the driver knows how each split begins, and the second pass
-cuts rows. The few rows that reach over the end of a split are put together afterwards and come last. The header is the
-first row of each file, told by its place.
+cuts rows. Both passes read the same splits, whatever settings or executors change between them. The few rows that reach
+over the end of a split are put together afterwards and come last. The header is the first row of each file, told by its
+place; files without rows have none.
 
-Types are tried on the first `infer_rows` rows (None: on all) in the order integer, float, vector, list, dict, string; a
+Types are tried on the first `infer_rows` rows (None: on all), of as many files as hold them, in the order integer, float, vector, list, dict, string; a
 cell that does not fit its column is missing everywhere, or an error everywhere with strict=True; misfits() counts them.
 """
 
@@ -179,13 +180,19 @@ def open_after(line: str, inside: bool, o: Options) -> bool:
         i = found.end()
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """df over the splits of now; a plan is laid out anew each time that it runs, by the settings and cores of that moment."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 class _Lines:
     """Lines of a source with the split that they are of: f (a number of the file), b (where the split begins) and the text."""
 
     def __init__(self, spark: SparkSession, path: str | list[str], o: Options):
         self.o = o
         self.df = spark.read.text(path, lineSep=o.line_terminator) if o.line_terminator else spark.read.text(path, wholetext=True)
-        self.tagged = self.df.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value")
+        self.tagged = _pinned(self.df.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value"))
         self.quoted = bool(o.quote and o.multi_line and o.line_terminator)
 
     @staticmethod
@@ -227,8 +234,8 @@ class _Lines:
             inside = r["inside"] if inside else r["outside"]
         return out, any(inside for inside, _ in out.values())
 
-    def rows(self, begins: dict | None, use, schema: str, header: bool) -> DataFrame:
-        """What use(rows) makes of batches of rows (lists of cells), and parts of rows that reach over splits: f, b (of the split where the row begins), n (of the split) and part. Without begins only the splits that begin a file are read."""
+    def rows(self, begins: dict, use, schema: str, header: bool) -> DataFrame:
+        """What use(rows) makes of batches of rows (lists of cells), and parts of rows that reach over splits: f, b (of the split where the row begins), n (of the split) and part."""
         o, pieces, quoted = self.o, self.pieces, self.quoted
 
         def run(batches):
@@ -241,12 +248,10 @@ class _Lines:
                     held.clear()
 
             for which, lines in pieces(batches):
-                if begins is None and which[1]:
-                    continue
                 if which != split:
                     ended()
                     split = which
-                    inside, row = begins.get(split, (False, 0)) if begins else (False, 0)
+                    inside, row = begins[split] if begins else (False, 0)
                     fresh, skip, first = not inside, o.skiprows if not split[1] else 0, header and not split[1]
                 got = []
                 for line in lines.to_pylist():
@@ -276,26 +281,74 @@ class _Lines:
 
         return self.tagged.mapInArrow(run, f"{schema}, _f bigint, _b bigint, _n bigint, _part string")
 
+    def first_rows(self, n: int) -> tuple[list[str] | None, list[list[str]]]:
+        """The first header, and up to n rows after headers, from the first splits of as many files as it takes, in their order."""
+        o, quoted = self.o, self.quoted
+
+        def run(batches):
+            file, inside, held, skip, k = None, False, [], 0, 0
+            for batch in batches:
+                got = []
+                for path, line in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                    if path != file:
+                        file, inside, held, skip, k = path, False, [], o.skiprows, 0 if o.header else 1
+                    if k > n:
+                        continue
+                    line = line if o.line_terminator != "\n" else line.rstrip("\r")
+                    if quoted and (inside or o.quote in line):
+                        held.append(line)
+                        if o.quote in line:
+                            inside = open_after(line, inside, o)
+                        if inside:
+                            continue
+                        line = o.line_terminator.join(held)
+                        held.clear()
+                    if skip:
+                        skip -= 1
+                    elif (cells := split_row(line, o)) is not None:
+                        got.append((path, k, cells))
+                        k += 1
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string())))], ["p", "k", "cells"])
+
+        head, rows, at, step = None, [], 0, 1
+        files = sorted(name.replace(":///", ":/") for name in self.df.inputFiles())  # as _metadata.file_path writes them
+        while at < len(files) and len(rows) < n:
+            begin = F.col("_metadata.file_path").isin(files[at : at + step]) & (F.col("_metadata.file_block_start") == 0)
+            found = self.df.where(begin).select(F.col("_metadata.file_path").alias("p"), "value").mapInArrow(run, "p string, k bigint, cells array<string>")
+            if step == 1:  # one file, whose rows come in order
+                got = found.limit(n + 1).collect()
+            else:
+                got = found.where("k = 0").orderBy("p").limit(1).collect() if head is None and o.header else []
+                got += found.where("k > 0").orderBy("p", "k").limit(n - len(rows)).collect()
+            head = next((r["cells"] for r in got if not r["k"]), None) if head is None else head
+            rows += [r["cells"] for r in got if r["k"]]
+            at, step = at + step, min(step * 8, 512)
+        return head, rows
+
+
+def _whole(found: DataFrame, o: Options) -> DataFrame:
+    """The rows that reach over splits, put together: one line each."""
+    return found.where("_part is not null").groupBy("_f", "_b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), o.line_terminator).alias("line"))
+
 
 def read(spark: SparkSession, path: str | list[str], **options) -> Frame:
     o = Options(**options)
     lines, na = _Lines(spark, path, o), set(o.na_values)
-    first = sorted(lines.df.inputFiles())[:1]
+    n = o.infer_rows or 100
 
     def raw(rows, parts):
         made = [(r, None, None, None, None) for r in rows] + [(None, *p) for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["cells", "_f", "_b", "_n", "_part"])
 
-    if not first:
-        return Frame(spark.createDataFrame([], "X1 bigint"))
     begins, over = lines.begins()
-    ahead = _Lines(spark, first, o).rows(None, raw, "cells array<string>", False).where("cells is not null")
-    rows = [r["cells"] for r in ahead.limit((o.infer_rows or 100) + 1).collect()]  # a bounded number of rows
-    if not rows:
+    head, sample = lines.first_rows(n)
+    if len(sample) < n and (any(b for _, b in begins) or not lines.quoted):  # the first splits hold few rows
+        found = lines.rows(begins, raw, "cells array<string>", o.header)
+        sample += [r["cells"] for r in found.where("cells is not null").limit(n).collect()]
+        sample += [cells for r in _whole(found, o).limit(n).collect() if (cells := split_row(r["line"], o)) is not None]
+    if head is None and (o.header or not sample):
         return Frame(spark.createDataFrame([], "X1 bigint"))
-    width = max(map(len, rows))
-    names = rows[0] if o.header else [f"X{i + 1}" for i in range(width)]
-    sample = rows[1:] if o.header else rows[: o.infer_rows or 100]
+    names = head if o.header else [f"X{i + 1}" for i in range(max(map(len, sample)))]
     if o.infer_rows is None:
         kinds = _over_all(lines, begins, names, na)
     else:
@@ -323,14 +376,12 @@ def read(spark: SparkSession, path: str | list[str], **options) -> Frame:
     found = lines.rows(begins, typed, schema, o.header)
     df = found.where("_part is null").drop(*ends)
     if over:
-        whole = found.where("_part is not null").groupBy("_f", "_b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), o.line_terminator).alias("line"))  # one row that reaches over splits
-
         def late(batches):
             for batch in batches:
                 rows = [r for text in batch.column(0).to_pylist() if (r := split_row(text, o)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([cell(r, i, k) for r in rows], arrow[k]) for i, k in enumerate(kinds)], names)
 
-        df = df.unionAll(whole.select("line").mapInArrow(late, schema))
+        df = df.unionAll(_whole(found, o).select("line").mapInArrow(late, schema))
     df = df.limit(o.nrows) if o.nrows is not None else df
     return Frame(df.select(*[f"`{c}`" for c in o.usecols]) if o.usecols else df)
 

@@ -81,3 +81,52 @@ def test_several_files_with_headers(spark, tmp_path):
 def _written(folder, name, text):
     (folder / name).write_text(text)
     return folder / name
+
+
+def test_files_without_rows_come_first(spark, tmp_path):
+    for name, text in {"a": "", "b": "# note\n", "c": "id,t\n", "d": "id,t\n1,\n", "e": "id,t\n2,x\n", "f": 'id,t\n3,"y\nz"\n'}.items():
+        _written(tmp_path, f"{name}.csv", text)
+    for options in ({}, {"multi_line": False, "infer_rows": 1}, {"infer_rows": None}):
+        got = csv.read(spark, str(tmp_path), **options)
+        assert got.dtypes == {"id": "integer", "t": "integer" if options.get("infer_rows") == 1 else "string"}
+    assert sorted((r["id"], r["t"]) for r in csv.read(spark, str(tmp_path)).to_list()) == [(1, ""), (2, "x"), (3, "y\nz")]
+    assert csv.read(spark, str(tmp_path / "[ab].csv")).to_list() == []
+
+
+def test_a_first_part_without_rows_is_written_and_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from granary.operators.frame import Frame
+
+    df = spark.range(0, 4000, 1, 4).where("id >= 1000").select("id", F.concat(F.lit("a\n#"), "id").alias("t"))
+    Frame(df).to_csv(str(tmp_path / "out"), single_file=False)
+    first, *rest = sorted((tmp_path / "out").glob("part-*"))
+    assert first.stat().st_size == 0 and rest
+    assert sorted((r["id"], r["t"]) for r in csv.read(spark, str(tmp_path / "out")).to_list()) == [(i, f"a\n#{i}") for i in range(1000, 4000)]
+
+
+def test_splits_stay_as_they_were_when_settings_change(spark, tmp_path):
+    rows = [(i, f"a\n{'b' * (i % 50)}\n#c") for i in range(400)]
+    _written(tmp_path, "t.csv", "n,s\n" + "".join(f'{n},"{s}"\n' for n, s in rows))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+        got = csv.read(spark, str(tmp_path / "t.csv"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        assert sorted((r["n"], r["s"]) for r in got.to_list()) == rows
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_types_where_the_first_split_holds_few_rows(spark, tmp_path):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 16)
+        got = _rows(spark, tmp_path, "n,s\n1,\n2,\n3,\n4,\n5,\n" + '6,"x\ny"\n7,z\n')
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted((r["n"], r["s"]) for r in got) == [(1, ""), (2, ""), (3, ""), (4, ""), (5, ""), (6, "x\ny"), (7, "z")]
